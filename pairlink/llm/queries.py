@@ -7,21 +7,86 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlink.llm import mixing, packing, truncation
 from pairlink.llm.groups import record_groups
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("""WITH RECURSIVE e AS (
+  SELECT regexp_replace(lower(id1), '[^0-9a-z]+', '', 'g') AS a, regexp_replace(lower(id2), '[^0-9a-z]+', '', 'g') AS b FROM comparison_pairs WHERE is_match AND id1 IS NOT NULL AND id2 IS NOT NULL),
+ l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ w AS (SELECT DISTINCT rec_id, regexp_replace(lower(rec_id), '[^0-9a-z]+', '', 'g') AS k FROM febrl_records WHERE rec_id IS NOT NULL)
+SELECT x.rec_id, min(y.rec_id) AS group_id FROM r JOIN w x ON x.k = r.a JOIN w y ON y.k = r.b GROUP BY x.rec_id HAVING count(DISTINCT y.rec_id) > 1""")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = _table(spark, folder, "comparison_pairs").filter("is_match")
     return record_groups(_table(spark, folder, "febrl_records"), "rec_id", pairs, "id1", "id2")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    capacity = _table(spark, folder, "pack_settings").first()["capacity_tokens"]
+    return packing.pack(_table(spark, folder, "documents"), "doc_id", "text", capacity)
+
+
+@query()
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).filter("piece_no = 0 and n_pieces > 1").select("doc_id")
+
+
+@query()
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(_packed(spark, folder))
+
+
+def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
+    return mixing.Mix(_table(spark, folder, "documents"), "doc_id", "text", "source", _table(spark, folder, "mix_targets"))
+
+
+@query()
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report().filter("short").select("source")
+
+
+@query()
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report()
+
+
+@query()
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).rows
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(_table(spark, folder, "documents"), "doc_id", "text", "source").select("doc_id")
+
+
+@query()
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(_table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
