@@ -24,9 +24,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlink.llm.spelling import spellings
 from pairlink.scratch import Scratch
 
 # Forms of address and legal forms; they neither identify nor contradict.
@@ -171,42 +172,6 @@ def _verdict(r: Readings, wa: list[str], ia: list[str], wb: list[str], ib: list[
     return 1 if any(len(ua[i][0]) == 1 or len(ub[j][0]) == 1 for i, j in pairs) else 0
 
 
-def deletes(token: Column, twice: Column) -> Column:
-    """Hashes of the token and of what is left of it after one (or two) deletions."""
-    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-    first = F.array_distinct(one(token))
-    second = F.when(twice, F.flatten(F.transform(first, one))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array_distinct(F.concat(F.array(token), first, second)), lambda v: F.xxhash64(v))
-
-
-def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9) -> DataFrame:
-    """(tok, df, other, odf, edits): distinct tokens within one edit, long ones within two, by the symmetric-delete index."""
-    indexed = tokens.filter(F.length("tok") >= min_len).withColumn("v", F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)))
-    other = indexed.select("v", F.col("tok").alias("other"), F.col("df").alias("odf"))
-    pairs = indexed.join(other, "v").filter("tok <> other and abs(length(tok) - length(other)) <= 2").select("tok", "df", "other", "odf").distinct()
-    d = F.levenshtein("tok", "other", 2)
-    swap = (F.length("tok") == F.length("other")) & (F.array_sort(F.split("tok", "")) == F.array_sort(F.split("other", "")))
-    return pairs.withColumn("d", d).filter("d >= 1").withColumn("edits", F.when((F.col("d") == 2) & swap, 1).otherwise(F.col("d"))).drop("d")
-
-
-def _spellings(tokens: DataFrame, fixed: set[str], scratch: Scratch) -> DataFrame:
-    """(tok, canon, cdf): the spelling each token stands for and in how many names that occurs."""
-    near = near_tokens(tokens)
-    better = (F.col("odf") > F.col("df")) | ((F.col("odf") == F.col("df")) & (F.col("other") < F.col("tok")))
-    plausible = F.when(F.col("edits") == 1, (F.col("df") <= 2) | (F.col("odf") >= 3 * F.col("df"))).otherwise((F.length("tok") >= 9) & (F.col("odf") >= 3 * F.col("df")) & (F.col("df") <= 2))
-    near = near.filter(better & plausible)
-    if fixed:
-        near = near.filter(~F.col("tok").isin(sorted(fixed)))
-    best = near.groupBy("tok").agg(F.max(F.struct(-F.col("edits"), F.col("odf"), F.col("other"))).getField("other").alias("up"))
-    one = scratch.save(tokens.join(best, "tok", "left").select("tok", "df", F.coalesce("up", "tok").alias("up")))
-    for _ in range(2):
-        above = one.select(F.col("tok").alias("up"), F.col("up").alias("top"))
-        one = one.join(above, "up", "left").select("tok", "df", F.coalesce("top", "up").alias("up"))
-    one = scratch.save(one)
-    sums = one.groupBy("up").agg(F.sum("df").alias("cdf"))
-    return one.join(sums, "up").select("tok", F.col("up").alias("canon"), "cdf")
-
-
 def linked_names(
     entries: DataFrame, key: str, name: str, surname: str, nicknames: DataFrame | None = None, given: str = "given_name", nickname: str = "nickname", common_share: float = 0.001
 ) -> DataFrame:
@@ -245,7 +210,7 @@ def linked_names(
     ).select("form", "n", "c.*")
     plain = F.col("kind") != "j"
     tokens = scratch.save(cells.groupBy("tok").agg(F.sum(F.when(plain, F.col("n")).otherwise(0)).alias("df")))
-    spelt = scratch.save(_spellings(tokens.filter((F.length("tok") >= 2)), lexicon, scratch))
+    spelt = scratch.save(spellings(tokens.filter((F.length("tok") >= 2)), lexicon, scratch))
     cells = cells.join(spelt, "tok")
     own = tokens.select("tok", F.col("df").alias("own"))
     cells = cells.join(own, "tok").filter(plain | (F.col("cdf") > 0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlink.llm import mixing, names, packing, truncation
+from pairlink.llm import addresses, mixing, names, packing, truncation
 from pairlink.llm.groups import record_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.linked_names(_table(spark, folder, "name_entries"), "entry_id", "name_a", "surname", _table(spark, folder, "nicknames"))
 
 
+@query()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.linked_addresses(_table(spark, folder, "address_records"), "addr_id", "str_name", "street_number", "postcode", "place")
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     capacity = _table(spark, folder, "pack_settings").first()["capacity_tokens"]
     return packing.pack(_table(spark, folder, "documents"), "doc_id", "text", capacity)
