@@ -180,21 +180,21 @@ def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, p
         )).alias("c")).select("r", "n", "c.*")
     )
     spelt = spellings(cells.groupBy("tok").agg(F.sum("n").alias("df")), KNOWN, scratch).select("tok", "canon")
-    cells = cells.join(spelt, "tok")
+    cells = cells.join(spelt.hint("merge"), "tok")
     where = cells.groupBy("canon").agg(F.sum(F.when(F.col("field") == 0, F.col("n")).otherwise(0)).alias("ps"), F.sum(F.when(F.col("field") == 1, F.col("n")).otherwise(0)).alias("pp"))
-    cells = cells.join(where, "canon").groupBy("r").agg(F.collect_list(F.struct("field", "pos", "canon", "ps", "pp")).alias("cells"))
+    cells = cells.join(where.hint("merge"), "canon").groupBy("r").agg(F.collect_list(F.struct("field", "pos", "canon", "ps", "pp")).alias("cells"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame([(r, *_parts(list(c))) for r, c in zip(pdf["r"], pdf["cells"])], columns=["r", "street", "kind", "base", "quals"])
 
     parts = cells.mapInPandas(split, "r string, street array<string>, kind string, base string, quals array<string>")
-    full = scratch.save(raw.select("e", "house", "code", "r").join(parts, "r").filter("size(street) > 0"))
+    full = scratch.save(raw.select("e", "house", "code", "r").join(parts.hint("merge"), "r").filter("size(street) > 0"))
     # the place a postcode stands for
     by_code = full.filter("code <> '' and base <> ''").groupBy("code", "base").agg(F.count("*").alias("n"))
     w = Window.partitionBy("code")
     by_code = by_code.withColumn("all", F.sum("n").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.col("n").desc(), "base"))).filter("k = 1 and n >= 0.6 * all and n >= 2")
-    full = full.join(by_code.select("code", F.col("base").alias("implied")), "code", "left")
+    full = full.join(by_code.select("code", F.col("base").alias("implied")).hint("merge"), "code", "left")
     form_of = F.concat_ws("|", "house", F.concat_ws(" ", "street"), "kind", "base", F.concat_ws(" ", "quals"), F.when(F.col("base") == "", F.coalesce("implied", F.lit(""))).otherwise(F.lit("")))
     full = scratch.save(full.withColumn("form", form_of).select("e", "form", "house", "street", "kind", "base", "quals", F.when(F.col("base") == "", F.col("implied")).alias("implied")))
     forms = full.groupBy("form").agg(*(F.first(c).alias(c) for c in ("house", "street", "kind", "base", "quals", "implied")), F.count("*").alias("n"))
@@ -204,18 +204,18 @@ def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, p
     total = forms.agg(F.sum("n")).first()[0] or 0
     words = forms.select("form", "n", F.explode("street").alias("w"))
     df = scratch.save(words.groupBy("w").agg(F.sum("n").alias("df")))
-    weighed = words.join(df, "w").groupBy("form").agg(F.collect_list(F.struct("w", F.log(1 + F.lit(float(total)) / F.col("df")).alias("x"))).alias("ws"))
-    forms = scratch.save(forms.join(weighed, "form"))
+    weighed = words.join(df.hint("merge"), "w").groupBy("form").agg(F.collect_list(F.struct("w", F.log(1 + F.lit(float(total)) / F.col("df")).alias("x"))).alias("ws"))
+    forms = scratch.save(forms.join(weighed.hint("merge"), "form"))
 
     # index under the rarest token that any other address may have too; probe with every token
     tokens = forms.select("form", "house", F.explode(F.concat(F.col("street"), F.when(F.col("base") != "", F.array("base")).when(F.col("implied") != "", F.array("implied")).otherwise(F.array().cast("array<string>")))).alias("w")).distinct()
     often = tokens.groupBy("house", "w").agg(F.count("*").alias("k"))
-    tokens = scratch.save(tokens.join(often.filter("k > 1"), ["house", "w"]))
+    tokens = scratch.save(tokens.join(often.filter("k > 1").hint("merge"), ["house", "w"]))
     rarest = tokens.groupBy("form", "house").agg(F.min(F.struct("k", "w")).getField("w").alias("w")).withColumnRenamed("form", "fa")
-    pairs = rarest.join(tokens.select("house", "w", F.col("form").alias("fb")), ["house", "w"]).filter("fa <> fb")
+    pairs = rarest.join(tokens.select("house", "w", F.col("form").alias("fb")).hint("merge"), ["house", "w"]).filter("fa <> fb")
     pairs = pairs.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
     for x in "ab":
-        pairs = pairs.join(forms.select(F.col("form").alias(f"f{x}"), *(F.col(c).alias(c + x) for c in ("ws", "kind", "base", "quals", "implied", "n"))), f"f{x}")
+        pairs = pairs.join(forms.select(F.col("form").alias(f"f{x}"), *(F.col(c).alias(c + x) for c in ("ws", "kind", "base", "quals", "implied", "n"))).hint("merge"), f"f{x}")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -241,7 +241,7 @@ def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, p
     weak = judged.filter("v = 1")
     own = lambda k, p: F.concat_ws("|", F.col(k), F.col(p))
     for x in "ab":
-        weak = weak.join(top.select(F.col("f").alias(f"f{x}"), F.col("top").alias(f"t{x}"), F.lit(True).alias(f"v{x}")), f"f{x}", "left")
+        weak = weak.join(top.select(F.col("f").alias(f"f{x}"), F.col("top").alias(f"t{x}"), F.lit(True).alias(f"v{x}")).hint("merge"), f"f{x}", "left")
         weak = weak.withColumn(f"t{x}", F.when(F.col(f"v{x}").isNull(), own(f"kind{x}", f"p{x}")).otherwise(F.col(f"t{x}")))
     part = lambda c, i: F.split_part(F.col(c), F.lit("|"), F.lit(i))
     fits = lambda i: (part("ta", i) == part("tb", i)) | (part("ta", i) == "") | (part("tb", i) == "")
@@ -249,6 +249,6 @@ def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, p
     linked = sure.union(weak).distinct()
 
     entry = full.select("e", "form")
-    across = linked.join(entry.select(F.col("form").alias("fa"), F.col("e").alias("x")), "fa").join(entry.select(F.col("form").alias("fb"), F.col("e").alias("y")), "fb").select("x", "y")
-    same = entry.select("form", F.col("e").alias("x")).join(entry.select("form", F.col("e").alias("y")), "form").filter("x < y").select("x", "y")
+    across = linked.join(entry.select(F.col("form").alias("fa"), F.col("e").alias("x")).hint("merge"), "fa").join(entry.select(F.col("form").alias("fb"), F.col("e").alias("y")).hint("merge"), "fb").select("x", "y")
+    same = entry.select("form", F.col("e").alias("x")).join(entry.select("form", F.col("e").alias("y")).hint("merge"), "form").filter("x < y").select("x", "y")
     return across.union(same).select(F.least("x", "y").alias(f"{key}_1"), F.greatest("x", "y").alias(f"{key}_2")).filter(F.col(f"{key}_1") != F.col(f"{key}_2")).distinct()

@@ -211,9 +211,9 @@ def linked_names(
     plain = F.col("kind") != "j"
     tokens = scratch.save(cells.groupBy("tok").agg(F.sum(F.when(plain, F.col("n")).otherwise(0)).alias("df")))
     spelt = scratch.save(spellings(tokens.filter((F.length("tok") >= 2)), lexicon, scratch))
-    cells = cells.join(spelt, "tok")
+    cells = cells.join(spelt.hint("merge"), "tok")
     own = tokens.select("tok", F.col("df").alias("own"))
-    cells = cells.join(own, "tok").filter(plain | (F.col("cdf") > 0))
+    cells = cells.join(own.hint("merge"), "tok").filter(plain | (F.col("cdf") > 0))
     shaped = scratch.save(cells.groupBy("form").agg(F.first("n").alias("n"), F.collect_list(F.struct("kind", "pos", "canon", "cdf", "own")).alias("cells")))
 
     total = forms.agg(F.sum("n")).first()[0] or 0
@@ -260,8 +260,8 @@ def linked_names(
         seen = scratch.save(seen.distinct())
         often = seen.groupBy("w").agg(F.count("*").alias("k")).filter(F.col("k") >= max(3, int(0.1 * common_share * total)))
         fulls = F.broadcast(spark.createDataFrame([(g,) for g in sorted({a for a, _ in nicks})], "full string"))
-        left = seen.join(often, "w").filter(~F.col("w").isin(sorted(lexicon | TITLES | LEGAL)))
-        both = left.join(seen.select("id", F.col("w").alias("full")).join(fulls, "full"), "id").groupBy("w", "k", "full").agg(F.count("*").alias("kk"))
+        left = seen.join(often.hint("merge"), "w").filter(~F.col("w").isin(sorted(lexicon | TITLES | LEGAL)))
+        both = left.join(seen.select("id", F.col("w").alias("full")).join(fulls, "full").hint("merge"), "id").groupBy("w", "k", "full").agg(F.count("*").alias("kk"))
         best = both.filter("kk >= 3 and kk >= 0.3 * k").groupBy("w").agg(F.max(F.struct("kk", "full")).alias("b"))
         learned = {r["w"]: r["full"] for r in best.select("w", "b.full").collect()}
     model = spark.sparkContext.broadcast(Readings(common, nicks, learned))
@@ -285,12 +285,12 @@ def linked_names(
     # words meet words under a reading; a form with initials only meets all forms under its letter
     a = index.select("id", "second", F.col("form").alias("fa"), F.col("vague").alias("va"))
     b = index.select("id", "second", F.col("form").alias("fb"), F.col("vague").alias("vb"))
-    words = a.filter("second like '=%'").join(b, ["id", "second"]).filter("fa < fb").select("fa", "fb")
-    vague = a.filter("va").join(b, ["id", "second"]).filter("fa <> fb").select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
+    words = a.filter("second like '=%'").join(b.hint("merge"), ["id", "second"]).filter("fa < fb").select("fa", "fb")
+    vague = a.filter("va").join(b.hint("merge"), ["id", "second"]).filter("fa <> fb").select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
     pairs = words.union(vague).distinct()
     side = who.select("form", "rest", "initials", "n")
     for x in "ab":
-        pairs = pairs.join(side.select(F.col("form").alias(f"f{x}"), F.col("rest").alias(f"w{x}"), F.col("initials").alias(f"i{x}"), F.col("n").alias(f"n{x}")), f"f{x}")
+        pairs = pairs.join(side.select(F.col("form").alias(f"f{x}"), F.col("rest").alias(f"w{x}"), F.col("initials").alias(f"i{x}"), F.col("n").alias(f"n{x}")).hint("merge"), f"f{x}")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = model.value
@@ -306,22 +306,22 @@ def linked_names(
     first = strong.union(strong.select("fb", "fa")).groupBy(F.col("fa").alias("o")).agg(F.min("fb").alias("g"))
     weak = judged.filter("v = 1 and ta <> tb")
     sides = weak.select(F.when(F.col("ta"), F.col("fb")).otherwise(F.col("fa")).alias("f"), F.when(F.col("ta"), F.col("fa")).otherwise(F.col("fb")).alias("o"), F.when(F.col("ta"), F.col("na")).otherwise(F.col("nb")).alias("m"))
-    sides = scratch.save(sides.join(first, "o", "left").withColumn("g", F.coalesce(F.least("g", "o"), F.col("o"))))
+    sides = scratch.save(sides.join(first.hint("merge"), "o", "left").withColumn("g", F.coalesce(F.least("g", "o"), F.col("o"))))
     by = Window.partitionBy("f")
     vote = sides.groupBy("f", "g").agg(F.sum("m").alias("m"))
     vote = vote.withColumn("all", F.sum("m").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.col("m").desc(), "g"))).filter("r = 1")
     vote = scratch.save(vote.select("f", F.when(F.col("m") >= 0.6 * F.col("all"), F.col("g")).alias("g")))
-    fits = sides.join(vote.filter("g is not null"), ["f", "g"]).select(F.least("f", "o").alias("fa"), F.greatest("f", "o").alias("fb"))
+    fits = sides.join(vote.filter("g is not null").hint("merge"), ["f", "g"]).select(F.least("f", "o").alias("fa"), F.greatest("f", "o").alias("fb"))
     # two forms with initials only agree when they stand for the same name, or when their group offers none
     bare = judged.filter("v = 1 and not ta and not tb").select("fa", "fb")
     for x in "ab":
-        bare = bare.join(vote.select(F.col("f").alias(f"f{x}"), F.col("g").alias(f"g{x}"), F.lit(True).alias(f"o{x}")), f"f{x}", "left")
+        bare = bare.join(vote.select(F.col("f").alias(f"f{x}"), F.col("g").alias(f"g{x}"), F.lit(True).alias(f"o{x}")).hint("merge"), f"f{x}", "left")
     bare = bare.filter("ga = gb or (oa is null and ob is null)").select("fa", "fb")
     linked = strong.union(fits).union(bare).distinct()
 
     entry = parsed.select("e", "form")
-    across = linked.join(entry.select(F.col("form").alias("fa"), F.col("e").alias("x")), "fa").join(entry.select(F.col("form").alias("fb"), F.col("e").alias("y")), "fb").select("x", "y")
+    across = linked.join(entry.select(F.col("form").alias("fa"), F.col("e").alias("x")).hint("merge"), "fa").join(entry.select(F.col("form").alias("fb"), F.col("e").alias("y")).hint("merge"), "fb").select("x", "y")
     named = who.filter("size(ids) > 0").select("form")
-    same = entry.join(named, "form")
-    same = same.select("form", F.col("e").alias("x")).join(same.select("form", F.col("e").alias("y")), "form").filter("x < y").select("x", "y")
+    same = entry.join(named.hint("merge"), "form")
+    same = same.select("form", F.col("e").alias("x")).join(same.select("form", F.col("e").alias("y")).hint("merge"), "form").filter("x < y").select("x", "y")
     return across.union(same).select(F.least("x", "y").alias(f"{key}_1"), F.greatest("x", "y").alias(f"{key}_2")).filter(F.col(f"{key}_1") != F.col(f"{key}_2")).distinct()

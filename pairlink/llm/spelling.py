@@ -20,7 +20,7 @@ def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9) -> DataF
     """(tok, df, other, odf, edits): distinct tokens within one edit, long ones within two, by the symmetric-delete index."""
     indexed = tokens.filter(F.length("tok") >= min_len).withColumn("v", F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)))
     other = indexed.select("v", F.col("tok").alias("other"), F.col("df").alias("odf"))
-    pairs = indexed.join(other, "v").filter("tok <> other and abs(length(tok) - length(other)) <= 2").select("tok", "df", "other", "odf").distinct()
+    pairs = indexed.join(other.hint("merge"), "v").filter("tok <> other and abs(length(tok) - length(other)) <= 2").select("tok", "df", "other", "odf").distinct()
     d = F.levenshtein("tok", "other", 2)
     swap = (F.length("tok") == F.length("other")) & (F.array_sort(F.split("tok", "")) == F.array_sort(F.split("other", "")))
     return pairs.withColumn("d", d).filter("d >= 1").withColumn("edits", F.when((F.col("d") == 2) & swap, 1).otherwise(F.col("d"))).drop("d")
@@ -35,10 +35,10 @@ def spellings(tokens: DataFrame, fixed: set[str], scratch: Scratch) -> DataFrame
     if fixed:
         near = near.filter(~F.col("tok").isin(sorted(fixed)))
     best = near.groupBy("tok").agg(F.max(F.struct(-F.col("edits"), F.col("odf"), F.col("other"))).getField("other").alias("up"))
-    one = scratch.save(tokens.join(best, "tok", "left").select("tok", "df", F.coalesce("up", "tok").alias("up")))
+    one = scratch.save(tokens.join(best.hint("merge"), "tok", "left").select("tok", "df", F.coalesce("up", "tok").alias("up")))
     for _ in range(2):
         above = one.select(F.col("tok").alias("up"), F.col("up").alias("top"))
-        one = one.join(above, "up", "left").select("tok", "df", F.coalesce("top", "up").alias("up"))
+        one = one.join(above.hint("merge"), "up", "left").select("tok", "df", F.coalesce("top", "up").alias("up"))
     one = scratch.save(one)
     sums = one.groupBy("up").agg(F.sum("df").alias("cdf"))
-    return one.join(sums, "up").select("tok", F.col("up").alias("canon"), "cdf")
+    return one.join(sums.hint("merge"), "up").select("tok", F.col("up").alias("canon"), "cdf")
