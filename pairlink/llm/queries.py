@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlink.llm import addresses, mixing, names, packing, truncation
+from pairlink.llm import addresses, entities, mixing, names, packing, truncation
 from pairlink.llm.groups import record_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,23 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.linked_names(_table(spark, folder, "name_entries"), "entry_id", "name_a", "surname", _table(spark, folder, "nicknames"))
 
 
+_PERSON_A = {
+    "id": "rec_id", "name": "name_a", "surname": "surname", "sex": "sex", "born": "dob", "street": "str_name", "number": "street_number", "postcode": "postcode", "place": "place", "income": "income",
+}
+_PERSON_B = {"id": "rec_id", "name": "name_b", "surname": "surname", "sex": "gender", "born": "date_of_birth", "street": "streetname", "place": "placename", "income": "income"}
+
+
+@query()
+def p3_matches(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = _table(spark, folder, "person_a"), _table(spark, folder, "person_b")
+    return entities.matched_entities(a, b, _PERSON_A, _PERSON_B, _table(spark, folder, "nicknames"))
+
+
+@query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_matches(spark, folder).filter("probability >= 0.3").select("id_a", "id_b")
+
+
 @query()
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.linked_addresses(_table(spark, folder, "address_records"), "addr_id", "str_name", "street_number", "postcode", "place")
