@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlink.operators import skew
+from pairlink.functions import clean as cl
+from pairlink.functions.phonetic import phonetic
+from pairlink.operators import classify, features, indexing, measures, resolve, skew
+from pairlink.operators.compare import Compare
+from pairlink.plans.linkage import block_and_compare
+from pairlink.records import RecordSet
+from pairlink.scratch import Scratch
+from pairlink.sources import annotation, febrl, generate
+from pairlink.streaming.incremental import stream_link
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -30,6 +39,486 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def records(spark: SparkSession, folder: str, name: str) -> RecordSet:
+    df = table(spark, folder, name)
+    return RecordSet(df, df.columns[0])
+
+
+def six(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns rounded to six decimals, as both engines compare them."""
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) + 0.0 for n in names})
+
+
+# --- indexing ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, r_regionkey FROM nation, region")
+def idx_full_link(spark, folder):
+    return indexing.Full().index(records(spark, folder, "nation"), records(spark, folder, "region"))
+
+
+@query("SELECT a.s_suppkey AS s_suppkey_1, b.s_suppkey AS s_suppkey_2 FROM supplier a JOIN supplier b ON a.s_suppkey > b.s_suppkey")
+def idx_full_dedup(spark, folder):
+    return indexing.Full().index(records(spark, folder, "supplier"))
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
+def idx_block_link(spark, folder):
+    return indexing.Block("c_nationkey", "s_nationkey").index(records(spark, folder, "customer"), records(spark, folder, "supplier"))
+
+
+CUSTOMER_PAIRS = """customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey > b.c_custkey"""
+
+
+def customer_pairs(spark, folder) -> tuple[RecordSet, DataFrame]:
+    c = records(spark, folder, "customer")
+    return c, indexing.Block(["c_nationkey", "c_mktsegment"]).index(c)
+
+
+@query(f"SELECT a.c_custkey AS c_custkey_1, b.c_custkey AS c_custkey_2 FROM {CUSTOMER_PAIRS}")
+def idx_block_dedup_multi(spark, folder):
+    return customer_pairs(spark, folder)[1]
+
+
+@query("""WITH k AS (SELECT v, dense_rank() OVER (ORDER BY v) AS r FROM (SELECT DISTINCT c_acctbal AS v FROM customer UNION SELECT DISTINCT s_acctbal FROM supplier))
+SELECT c_custkey, s_suppkey FROM customer JOIN k x ON x.v = c_acctbal JOIN k y ON abs(x.r - y.r) <= 1 JOIN supplier ON s_acctbal = y.v""")
+def idx_sni_link(spark, folder):
+    return indexing.SortedNeighbourhood("c_acctbal", "s_acctbal", window=3).index(records(spark, folder, "customer"), records(spark, folder, "supplier"))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_retailprice, dense_rank() OVER (ORDER BY p_retailprice) AS r FROM part WHERE p_retailprice IS NOT NULL)
+SELECT a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2 FROM k a JOIN k b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND a.p_partkey > b.p_partkey""")
+def idx_sni_dedup(spark, folder):
+    return indexing.SortedNeighbourhood("p_retailprice", window=5).index(records(spark, folder, "part"))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_brand, p_retailprice, dense_rank() OVER (ORDER BY p_retailprice) AS r FROM part WHERE p_retailprice IS NOT NULL)
+SELECT a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2 FROM k a JOIN k b ON a.p_brand = b.p_brand AND b.r BETWEEN a.r - 4 AND a.r + 4 AND a.p_partkey > b.p_partkey""")
+def idx_sni_blocked(spark, folder):
+    return indexing.SortedNeighbourhood("p_retailprice", window=9, block_on="p_brand").index(records(spark, folder, "part"))
+
+
+@query("""WITH k(v, r) AS (VALUES (4, 0), (2, 1), (0, 2), (1, 3), (3, 4))
+SELECT a.n_nationkey AS n_nationkey_1, b.n_nationkey AS n_nationkey_2 FROM nation a JOIN k x ON x.v = a.n_regionkey JOIN k y ON abs(x.r - y.r) <= 1
+JOIN nation b ON b.n_regionkey = y.v AND a.n_nationkey > b.n_nationkey""")
+def idx_sni_given_order(spark, folder):
+    return indexing.SortedNeighbourhood("n_regionkey", window=3, sorting_key_values=[4, 2, 0, 1, 3]).index(records(spark, folder, "nation"))
+
+
+@query("""SELECT a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2 FROM part a JOIN part b
+ON a.p_brand = b.p_brand AND (a.p_type = b.p_type OR a.p_size = b.p_size) AND a.p_partkey > b.p_partkey""")
+def idx_union(spark, folder):
+    return indexing.Index().block(["p_brand", "p_type"]).block(["p_brand", "p_size"]).index(records(spark, folder, "part"))
+
+
+@query("""WITH k AS (SELECT *, dense_rank() OVER (ORDER BY p_size) AS r FROM part)
+SELECT a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2 FROM k a JOIN k b ON a.p_partkey > b.p_partkey AND
+(CASE WHEN a.p_brand = b.p_brand THEN 1 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END + CASE WHEN abs(a.r - b.r) <= 1 THEN 1 ELSE 0 END) >= 2""")
+def idx_neighbourhood(spark, folder):
+    part = records(spark, folder, "part")
+    return indexing.NeighbourhoodBlock(["p_brand", "p_type", "p_size"], max_non_matches=1, windows=[1, 1, 3]).index(part)
+
+
+@query()
+def idx_random_link(spark, folder):
+    return indexing.Random(2500, random_state=1).index(records(spark, folder, "customer"), records(spark, folder, "supplier"))
+
+
+@query()
+def idx_random_dedup(spark, folder):
+    return indexing.Random(40, replace=False, random_state=1).index(records(spark, folder, "supplier"))
+
+
+@query("SELECT n_nationkey_1, n_nationkey_2, (ntile(7) OVER (ORDER BY n_nationkey_1, n_nationkey_2) - 1)::INT AS chunk FROM (SELECT a.n_nationkey AS n_nationkey_1, b.n_nationkey AS n_nationkey_2 FROM nation a JOIN nation b ON a.n_nationkey > b.n_nationkey)")
+def idx_split(spark, folder):
+    return indexing.with_chunks(indexing.Full().index(records(spark, folder, "nation")), 7)
+
+
+# --- comparing --------------------------------------------------------------------------------------------------------
+
+PART_PAIRS = "part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey > b.p_partkey"
+PART_IDS = "a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2"
+CUSTOMER_IDS = "a.c_custkey AS c_custkey_1, b.c_custkey AS c_custkey_2"
+
+
+def part_features(spark, folder, compare: Compare) -> DataFrame:
+    return block_and_compare(indexing.Block(["p_brand", "p_size"]), compare, records(spark, folder, "part"))
+
+
+def customer_features(spark, folder, compare: Compare) -> DataFrame:
+    return block_and_compare(indexing.Block(["c_nationkey", "c_mktsegment"]), compare, records(spark, folder, "customer"))
+
+
+@query(f"SELECT {PART_IDS}, CASE WHEN a.p_type IS NULL OR b.p_type IS NULL THEN 0.0 WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END::DOUBLE AS same FROM {PART_PAIRS}")
+def cmp_exact(spark, folder):
+    return part_features(spark, folder, Compare().exact("p_type", "p_type", label="same"))
+
+
+@query(f"SELECT {PART_IDS}, CASE WHEN a.p_type = b.p_type THEN a.p_type ELSE 'differs' END AS same FROM {PART_PAIRS}")
+def cmp_exact_value(spark, folder):
+    return part_features(spark, folder, Compare().exact("p_type", "p_type", agree_value="value", disagree_value="differs", label="same"))
+
+
+PERSON_PAIRS = "person_a a JOIN person_b b ON a.surname = b.surname"
+PERSON_IDS = "a.rec_id AS rec_id_1, b.rec_id AS rec_id_2"
+
+
+def person_features(spark, folder, compare: Compare) -> DataFrame:
+    return block_and_compare(indexing.Block("surname"), compare, records(spark, folder, "person_a"), records(spark, folder, "person_b"))
+
+
+@query(f"SELECT {PERSON_IDS}, CASE WHEN a.place IS NULL OR b.placename IS NULL THEN 'unknown' WHEN a.place = b.placename THEN '1.0' ELSE '0.0' END AS same FROM {PERSON_PAIRS}")
+def cmp_exact_missing(spark, folder):
+    return person_features(spark, folder, Compare().exact("place", "placename", missing_value="unknown", label="same"))
+
+
+def text_query(method: str, sql: str, threshold: float | None = None, on: str = "p_name") -> Query:
+    def run(spark, folder):
+        return six(part_features(spark, folder, Compare().string(on, on, method, threshold, label="sim")), "sim")
+
+    run.__name__ = f"cmp_{method}" + ("_threshold" if threshold else "")
+    return query(f"SELECT {PART_IDS}, round(({sql})::DOUBLE, 6) AS sim FROM {PART_PAIRS}" if sql else None)(run)
+
+
+_LEV = "1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))::DOUBLE"
+text_query("levenshtein", _LEV)
+text_query("levenshtein", f"CASE WHEN {_LEV} >= 0.5 THEN 1 ELSE 0 END", 0.5)
+text_query("damerau_levenshtein", "1 - damerau_levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))::DOUBLE")
+text_query("jaro", "jaro_similarity(a.p_name, b.p_name)")
+text_query("jarowinkler", "jaro_winkler_similarity(a.p_name, b.p_name)")
+text_query("smith_waterman", "")
+text_query("lcs", "")
+
+_GRAMS = """WITH w AS (SELECT p_partkey, unnest(string_split_regex(lower(p_name), '\\s+')) AS t FROM part), g AS (SELECT p_partkey, unnest(list_transform(range(1, length(t) + 2), lambda i: substr(' ' || t || ' ', i::INT, 2))) AS x FROM w WHERE t <> ''),
+c AS (SELECT p_partkey, x, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT p_partkey, sum(n)::DOUBLE AS total, sqrt(sum(n * n)) AS norm FROM c GROUP BY ALL),
+p AS (SELECT a.p_partkey AS i, b.p_partkey AS j FROM """ + PART_PAIRS + "), m AS (SELECT i, j, sum(least(x.n, y.n)) AS both_n, sum(x.n * y.n) AS dot FROM p JOIN c x ON x.p_partkey = i JOIN c y ON y.p_partkey = j AND x.x = y.x GROUP BY ALL) "
+
+
+@query(_GRAMS + "SELECT p.i AS p_partkey_1, p.j AS p_partkey_2, round(coalesce(both_n, 0)::DOUBLE / greatest(u.total, v.total), 6) AS sim FROM p LEFT JOIN m USING (i, j) JOIN s u ON u.p_partkey = p.i JOIN s v ON v.p_partkey = p.j")
+def cmp_qgram(spark, folder):
+    return six(part_features(spark, folder, Compare().string("p_name", "p_name", "qgram", label="sim")), "sim")
+
+
+@query(_GRAMS + "SELECT p.i AS p_partkey_1, p.j AS p_partkey_2, round(coalesce(dot, 0)::DOUBLE / (u.norm * v.norm), 6) AS sim FROM p LEFT JOIN m USING (i, j) JOIN s u ON u.p_partkey = p.i JOIN s v ON v.p_partkey = p.j")
+def cmp_cosine(spark, folder):
+    return six(part_features(spark, folder, Compare().string("p_name", "p_name", "cosine", label="sim")), "sim")
+
+
+_D = "abs(b.c_acctbal - a.c_acctbal)"
+for _method, _sql in {
+    "step": f"CASE WHEN {_D} <= 100 THEN 1 ELSE 0 END",
+    "linear": f"1 - least(greatest({_D} - 100, 0), 2000) / 2000",
+    "squared": f"1 - 0.5 * pow(least(greatest({_D} - 100, 0), sqrt(2) * 1000) / 1000, 2)",
+    "exp": f"pow(2, -greatest({_D} - 100, 0) / 1000)",
+    "gauss": f"pow(2, -pow(greatest({_D} - 100, 0) / 1000, 2))",
+}.items():
+
+    def _numeric(spark, folder, method=_method):
+        return six(customer_features(spark, folder, Compare().numeric("c_acctbal", "c_acctbal", method, offset=100, scale=1000, label="sim")), "sim")
+
+    _numeric.__name__ = f"cmp_num_{_method}"
+    query(f"SELECT {CUSTOMER_IDS}, round(({_sql})::DOUBLE, 6) AS sim FROM {CUSTOMER_PAIRS}")(_numeric)
+
+
+_HAVERSINE = "2 * 6371 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal / 200 AS lat, s_suppkey % 360 - 180.0 AS lng FROM supplier)
+SELECT a.s_suppkey AS s_suppkey_1, b.s_suppkey AS s_suppkey_2, round(pow(2, -({_HAVERSINE}) / 500), 6) AS sim FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey > b.s_suppkey""")
+def cmp_geo(spark, folder):
+    s = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") / 200).alias("lat"), (F.col("s_suppkey") % 360 - F.lit(180.0)).alias("lng"))
+    compare = Compare().geo("lat", "lng", "lat", "lng", method="exp", scale=500, label="sim")
+    return six(block_and_compare(indexing.Block("s_nationkey"), compare, RecordSet(s, "s_suppkey")), "sim")
+
+
+_SAME = "year(a.dob) = year(b.date_of_birth)"
+
+
+@query(f"""SELECT {PERSON_IDS}, (CASE WHEN a.dob IS NULL OR b.date_of_birth IS NULL THEN -1 WHEN a.dob = b.date_of_birth THEN 1
+WHEN {_SAME} AND day(a.dob) = day(b.date_of_birth) AND (month(a.dob), month(b.date_of_birth)) IN ((6, 7), (7, 6), (9, 10), (10, 9)) THEN 0.5
+WHEN {_SAME} AND month(a.dob) = day(b.date_of_birth) AND day(a.dob) = month(b.date_of_birth) THEN 0.5 ELSE 0 END)::DOUBLE AS sim FROM {PERSON_PAIRS}""")
+def cmp_date(spark, folder):
+    return person_features(spark, folder, Compare().date("dob", "date_of_birth", missing_value=-1, label="sim"))
+
+
+@query(f"SELECT {PERSON_IDS}, coalesce(a.income, 0)::DOUBLE AS income_1, coalesce(b.income, 0)::DOUBLE AS income_2 FROM {PERSON_PAIRS}")
+def cmp_variable(spark, folder):
+    return person_features(spark, folder, Compare([features.VariableA("income", label="income_1"), features.VariableB("income", label="income_2")]))
+
+
+@query(f"""WITH p AS (SELECT {PERSON_IDS}, a.place, b.placename FROM {PERSON_PAIRS})
+SELECT rec_id_1, rec_id_2, CASE WHEN place IS NULL THEN 0 ELSE round(count(*) OVER (PARTITION BY place) / (count(*) OVER ())::DOUBLE, 6) END::DOUBLE AS share,
+CASE WHEN placename IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY placename) END::DOUBLE AS n FROM p""")
+def cmp_frequency(spark, folder):
+    compare = Compare([features.FrequencyA("place", label="share"), features.FrequencyB("placename", normalise=False, label="n")])
+    return six(person_features(spark, folder, compare), "share")
+
+
+@query(f"SELECT {PERSON_IDS}, coalesce(abs(year(a.dob) - year(b.date_of_birth)), -1)::INT AS years, coalesce(a.sex = upper(left(b.gender, 1)), false) AS same_sex FROM {PERSON_PAIRS}")
+def cmp_vectorized(spark, folder):
+    def both(born_a: Column, sex: Column, born_b: Column, gender: Column) -> list[Column]:
+        return [F.coalesce(F.abs(F.year(born_a) - F.year(born_b)), F.lit(-1)), F.coalesce(sex == F.upper(F.substring(gender, 1, 1)), F.lit(False))]
+
+    return person_features(spark, folder, Compare().compare_vectorized(both, ["dob", "sex"], ["date_of_birth", "gender"], label=["years", "same_sex"]))
+
+
+@query()
+def cmp_random(spark, folder):
+    return customer_features(spark, folder, Compare([features.RandomContinuous(1, 2, "u", 1), features.RandomDiscrete([1, 5], label="v", random_state=2)]))
+
+
+# --- preprocessing ----------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name_a), '(\[.*?\]|\(.*?\)|\{.*?\})', '', 'g'), '[^ \-\_A-Za-z0-9]+', '', 'g'), '[\-\_]', ' ', 'g'), '\s\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS name
+FROM name_entries""")
+def prep_clean(spark, folder):
+    return table(spark, folder, "name_entries").select("entry_id", cl.clean("name_a").alias("name"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS text FROM documents")
+def prep_accents(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", cl.strip_accents(F.col("text")).alias("text"))
+
+
+@query("SELECT addr_id, regexp_replace(street_number, '[^0-9+]+', '', 'g') AS number FROM address_records")
+def prep_phone(spark, folder):
+    return table(spark, folder, "address_records").select("addr_id", cl.phonenumbers("street_number").alias("number"))
+
+
+@query("SELECT rec_id, loaded_at, surname, count(*) OVER (PARTITION BY surname) AS n FROM febrl_records")
+def prep_occurrence(spark, folder):
+    records_ = table(spark, folder, "febrl_records").select("rec_id", F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"), "surname")
+    return cl.value_occurence(records_, "surname", "n")
+
+
+for _method in ("soundex", "nysiis", "metaphone", "match_rating"):
+
+    def _phonetic(spark, folder, method=_method):
+        return table(spark, folder, "febrl_records").select("rec_id", "surname", phonetic("surname", method).alias("code"))
+
+    _phonetic.__name__ = f"prep_{_method}"
+    query()(_phonetic)
+
+
+# --- classifiers ------------------------------------------------------------------------------------------------------
+
+SCORES = ["cmp_firstname1", "cmp_lastname1", "cmp_sex", "cmp_birthday", "cmp_birthmonth", "cmp_birthyear", "cmp_zipcode"]
+
+
+def vectors(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The compared pairs with a 0 for what wasn't compared, and the pairs judged to match."""
+    rows = table(spark, folder, "comparison_pairs")
+    return rows.select("id1", "id2", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in SCORES)), rows.filter("is_match").select("id1", "id2")
+
+
+def _summed(weights: list[float]) -> str:
+    return " + ".join(f"{w} * coalesce({c}, 0)" for c, w in zip(SCORES, weights))
+
+
+@query(f"SELECT id1, id2 FROM comparison_pairs WHERE {_summed([1] * 7)} > 5")
+def clf_sum_rule(spark, folder):
+    return classify.sum_rule(vectors(spark, folder)[0], 5)
+
+
+_WEIGHTS = [2.0, 3.0, 0.5, 1.0, 1.0, 1.5, 1.0]
+
+
+@query(f"SELECT id1, id2, round(1 / (1 + exp(-({_summed(_WEIGHTS)} - 6.25))), 6) AS prob FROM comparison_pairs")
+def clf_logistic_manual(spark, folder):
+    return six(classify.LogisticRegressionClassifier(_WEIGHTS, -6.25).prob(vectors(spark, folder)[0]), "prob")
+
+
+@query("""WITH v AS (SELECT id1, id2, """ + ", ".join(f"CASE WHEN {c} > 0.5 THEN 1 ELSE 0 END AS {c}" for c in SCORES) + """ FROM comparison_pairs),
+l AS (SELECT v.*, CASE WHEN m.id1 IS NULL THEN 0 ELSE 1 END AS y FROM v LEFT JOIN (SELECT DISTINCT id1, id2 FROM comparison_pairs WHERE is_match) m ON v.id1 = m.id1 AND v.id2 = m.id2),
+t AS (SELECT sum(y)::DOUBLE AS m, sum(1 - y)::DOUBLE AS u FROM l), """
++ ", ".join(f"f{i} AS (SELECT {c} AS x, ln((sum(y) + 0.0001) / (m + 0.0002)) - ln((sum(1 - y) + 0.0001) / (u + 0.0002)) AS w FROM l, t GROUP BY {c}, m, u)" for i, c in enumerate(SCORES))
++ " SELECT id1, id2, round(1 / (1 + exp(-(ln(m / u) + " + " + ".join(f"f{i}.w" for i in range(7)) + "))), 6) AS prob FROM v, t, " + ", ".join(f"f{i}" for i in range(7)) + " WHERE " + " AND ".join(f"v.{c} = f{i}.x" for i, c in enumerate(SCORES)))
+def clf_naive_bayes(spark, folder):
+    x, matches = vectors(spark, folder)
+    return six(classify.NaiveBayesClassifier(binarize=0.5).fit(x, matches).prob(x), "prob")
+
+
+def _sq(center: float) -> str:
+    return " + ".join(f"pow(coalesce({c}, 0) - {center}, 2)" for c in SCORES)
+
+
+@query(f"SELECT id1, id2 FROM comparison_pairs WHERE {_sq(0.9)} < {_sq(0.2)}")
+def clf_kmeans_fixed(spark, folder):
+    return classify.KMeansClassifier([0.9] * 7, [0.2] * 7).predict(vectors(spark, folder)[0])
+
+
+@query()
+def clf_kmeans(spark, folder):
+    return classify.KMeansClassifier().fit_predict(vectors(spark, folder)[0])
+
+
+@query()
+def clf_ecm(spark, folder):
+    return classify.ECMClassifier(binarize=0.5).fit_predict(vectors(spark, folder)[0])
+
+
+@query()
+def clf_logistic_fit(spark, folder):
+    return classify.LogisticRegressionClassifier().fit_predict(*vectors(spark, folder))
+
+
+@query()
+def clf_svm(spark, folder):
+    return classify.SVMClassifier().fit_predict(*vectors(spark, folder))
+
+
+class _Centroid:
+    """A small local model: the nearer of the two class means."""
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.means = np.stack([x[y == k].mean(axis=0) for k in (0, 1)])
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return ((x[:, None, :] - self.means) ** 2).sum(axis=2).argmin(axis=1)
+
+
+@query()
+def clf_adapter_local(spark, folder):
+    return classify.DriverModelClassifier(_Centroid()).fit_predict(*vectors(spark, folder))
+
+
+@query()
+def clf_adapter_spark(spark, folder):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    return classify.SparkMLClassifier(DecisionTreeClassifier(maxDepth=3)).fit_predict(*vectors(spark, folder))
+
+
+# --- links ------------------------------------------------------------------------------------------------------------
+
+
+def _links(spark, folder) -> DataFrame:
+    """Customers and suppliers of a nation, the nearest balances first."""
+    found = block_and_compare(indexing.Block("c_nationkey", "s_nationkey"), Compare().numeric("c_acctbal", "s_acctbal", "linear", scale=500, label="sim"), records(spark, folder, "customer"), records(spark, folder, "supplier"))
+    return found.filter("sim > 0.5").select("c_custkey", "s_suppkey", F.round(-F.col("sim"), 6).alias("o"))
+
+
+_LINKS = "SELECT c_custkey, s_suppkey, round(-(1 - least(abs(s_acctbal - c_acctbal), 1000) / 1000), 6) AS o FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE 1 - least(abs(s_acctbal - c_acctbal), 1000) / 1000 > 0.5"
+
+
+@query(f"SELECT c_custkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o, c_custkey, s_suppkey) AS r FROM ({_LINKS})) WHERE r = 1")
+def net_one_to_many(spark, folder):
+    return resolve.OneToManyLinking(0).compute(_links(spark, folder), order_by="o")
+
+
+@query()
+def net_one_to_one(spark, folder):
+    return resolve.OneToOneLinking().compute(_links(spark, folder), order_by="o")
+
+
+_NEAR = "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey > b.c_custkey WHERE abs(a.c_acctbal - b.c_acctbal) <= 200"
+
+
+def _near(spark, folder) -> DataFrame:
+    return customer_features(spark, folder, Compare().numeric("c_acctbal", "c_acctbal", "step", offset=200, label="sim")).filter("sim = 1").drop("sim")
+
+
+@query(f"""WITH RECURSIVE e AS ({_NEAR}), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r(x, y) AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x)
+SELECT c AS component, e.x AS c_custkey_1, e.y AS c_custkey_2 FROM e JOIN (SELECT x, least(min(y), x) AS c FROM r GROUP BY x) m ON m.x = e.x""")
+def net_components(spark, folder):
+    return resolve.ConnectedComponents().compute(_near(spark, folder))
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------
+
+_JUDGED = """WITH t AS (SELECT DISTINCT id1, id2 FROM comparison_pairs WHERE is_match), p AS (SELECT DISTINCT id1, id2 FROM comparison_pairs WHERE """ + _summed([1] * 7) + """ > 5),
+c AS (SELECT (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM p)) AS tp, (SELECT count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM p)) AS fn, (SELECT count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM t)) AS fp) """
+
+
+def _judged(spark, folder) -> tuple[DataFrame, DataFrame]:
+    x, matches = vectors(spark, folder)
+    return matches, classify.sum_rule(x, 5)
+
+
+@query(_JUDGED + "SELECT tp, fn, fp FROM c")
+def eval_confusion(spark, folder):
+    return measures.confusion_frame(*_judged(spark, folder))
+
+
+@query(_JUDGED + ", n AS (SELECT count(DISTINCT (id1, id2)) AS total FROM comparison_pairs) " + """SELECT round(tp / (tp + fp)::DOUBLE, 6) AS precision_, round(tp / (tp + fn)::DOUBLE, 6) AS recall_, round((total - fn - fp) / total::DOUBLE, 6) AS accuracy_,
+round((total - tp - fn - fp) / (total - tp - fn)::DOUBLE, 6) AS specificity_, round(2 * tp / (2 * tp + fn + fp)::DOUBLE, 6) AS fscore_ FROM c, n""")
+def eval_scores(spark, folder):
+    m = measures.confusion_matrix(*_judged(spark, folder), vectors(spark, folder)[0].select("id1", "id2").distinct())
+    row = (measures.precision(m), measures.recall(m), measures.accuracy(m), measures.specificity(m), measures.fscore(m))
+    return spark.createDataFrame([tuple(round(x, 6) for x in row)], "precision_ double, recall_ double, accuracy_ double, specificity_ double, fscore_ double")
+
+
+@query(f"SELECT round(1 - (SELECT count(*) FROM {CUSTOMER_PAIRS}) / ((SELECT count(*) FROM customer) * ((SELECT count(*) FROM customer) - 1) / 2)::DOUBLE, 6) AS ratio")
+def eval_reduction_ratio(spark, folder):
+    c, pairs = customer_pairs(spark, folder)
+    return spark.createDataFrame([(round(measures.reduction_ratio(pairs, c), 6),)], "ratio double")
+
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT rec_id, regexp_extract(rec_id, 'rec-([0-9]{8})', 1) AS k FROM (SELECT DISTINCT rec_id FROM febrl_records))
+SELECT a.rec_id AS rec_id_1, b.rec_id AS rec_id_2 FROM k a JOIN k b ON a.k = b.k AND a.k <> '' AND a.rec_id > b.rec_id""")
+def src_true_links(spark, folder):
+    return febrl.true_links(table(spark, folder, "febrl_records").select("rec_id").distinct(), pattern=r"rec-(\d{8})")
+
+
+@query("SELECT 'rec-' || i || '-org' AS rec_id_1, 'rec-' || i || '-dup-0' AS rec_id_2 FROM range(5000) t(i)")
+def src_febrl4_links(spark, folder):
+    return febrl.links_febrl4(spark)
+
+
+@query()
+def src_binary_vectors(spark, folder):
+    return generate.binary_vectors(spark, 50_000, 10_000, [0.92, 0.81, 0.85, 0.90, 0.99, 0.70, 0.56], [0.19, 0.23, 0.50, 0.11, 0.20, 0.14, 0.50], random_state=535)
+
+
+@query("""SELECT p.id_a AS id_1, p.id_b AS id_2, a.name_a AS value_a, CASE WHEN b.rec_id IS NOT NULL THEN b.name_b END AS value_b, 2::INT AS n_fields
+FROM annotated_pairs p JOIN person_a a ON a.rec_id = p.id_a JOIN person_b b ON b.rec_id = p.id_b""")
+def src_annotation(spark, folder):
+    a, b = table(spark, folder, "person_a").select("rec_id", F.col("name_a").alias("name"), "surname"), table(spark, folder, "person_b").select("rec_id", F.col("name_b").alias("name"), "surname")
+    found = annotation.annotation_frame(table(spark, folder, "annotated_pairs").select("id_a", "id_b"), a, b, "a", "b")
+    field = F.col("pair.fields")[0]
+    return found.select(F.col("pair.identifiers.a.record").alias("id_1"), F.col("pair.identifiers.b.record").alias("id_2"), field["a"]["value"].alias("value_a"), field["b"]["value"].alias("value_b"), F.size("pair.fields").alias("n_fields"))
+
+
+# --- whole pipelines --------------------------------------------------------------------------------------------------
+
+_E2E = "CASE WHEN greatest(length(a.c_name), length(b.c_name)) = 0 THEN 0 ELSE 1 - levenshtein(a.c_name, b.c_name) / greatest(length(a.c_name), length(b.c_name))::DOUBLE END"
+_GAUSS = "pow(2, -pow((b.c_acctbal - a.c_acctbal) / 1000, 2))"
+
+
+@query(f"SELECT * FROM (SELECT {CUSTOMER_IDS}, round({_E2E}, 6) AS name, round({_GAUSS}, 6) AS balance FROM {CUSTOMER_PAIRS}) WHERE name + balance > 1")
+def e2e_dedup(spark, folder):
+    compare = Compare().string("c_name", "c_name", label="name").numeric("c_acctbal", "c_acctbal", "gauss", scale=1000, label="balance")
+    return six(customer_features(spark, folder, compare), "name", "balance").filter(F.col("name") + F.col("balance") > 1)
+
+
+_LINK = f"SELECT {PERSON_IDS} FROM {PERSON_PAIRS} WHERE coalesce(jaro_winkler_similarity(a.name_a, b.name_b), 0) + CASE WHEN a.dob = b.date_of_birth THEN 1 ELSE 0 END + CASE WHEN a.place = b.placename THEN 1 ELSE 0 END > 2.5"
+
+
+@query(_LINK)
+def e2e_link(spark, folder):
+    compare = Compare().string("name_a", "name_b", "jarowinkler").exact("dob", "date_of_birth").exact("place", "placename")
+    return classify.sum_rule(person_features(spark, folder, compare), 2.5)
+
+
+@query(_LINK)
+def stream_e2e_link(spark, folder):
+    """The same links with person_a as a stream: read as it stands, joined to person_b, written out batch by batch."""
+    compare = Compare().string("name_a", "name_b", "jarowinkler").exact("dob", "date_of_birth").exact("place", "placename")
+    schema = table(spark, folder, "person_a").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/person_a.parquet*")
+    found = classify.sum_rule(stream_link(stream, "rec_id", records(spark, folder, "person_b"), indexing.Block("surname"), compare), 2.5)
+    out = Scratch(spark, "stream").root
+    found.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{out}/rows")
+
+
+# --- popular keys -----------------------------------------------------------------------------------------------------
+
+
 @query("""SELECT surname FROM febrl_records WHERE surname IS NOT NULL GROUP BY surname
 HAVING count(*) * 100 >= (SELECT count(*) FROM febrl_records)""")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
