@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ def similarity(distance: Column, method: str, offset: float = 0.0, scale: float
     if name == "linear":
         value = 1 - F.least(beyond, F.lit(2.0 * scale)) / (2.0 * scale)
     elif name == "squared":
-        value = 1 - 0.5 * F.pow(F.least(beyond, F.lit(math.sqrt(2.0) * scale)) / float(scale), 2)
+        value = 1 - 0.5 * F.least(F.pow(beyond / float(scale), 2), F.lit(2.0))
     elif name == "exp":
         value = F.pow(F.lit(2.0), -beyond / float(scale))
     else:

@@ -66,9 +66,9 @@ def similarity(l: Column, r: Column, method: str, threshold: float | None = None
     if name == "levenshtein":
         value = levenshtein(l, r)
     elif name == "qgram":
-        value = qgram(l, r)
+        value = F.when((l == r) & l.rlike(r"\S"), 1.0).otherwise(qgram(l, r))
     elif name == "cosine":
-        value = cosine(l, r)
+        value = F.when((l == r) & l.rlike(r"\S"), 1.0).otherwise(cosine(l, r))
     else:
         value = F.pandas_udf(metrics.vectorised(_KERNELS[name]), DoubleType())(l, r)
         value = F.when(~F.isnan(value), value)

@@ -15,6 +15,7 @@ from functools import reduce
 from typing import Any
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -458,13 +459,14 @@ class DriverModelClassifier(PairClassifier):
         self.kernel.fit(x, pdf["label"].to_numpy()) if self.supervised else self.kernel.fit(x)
 
     def _apply(self, vectors: DataFrame, out: str, function) -> DataFrame:
-        model = vectors.sparkSession.sparkContext.broadcast(self.kernel)
+        model = vectors.sparkSession.sparkContext.broadcast(cloudpickle.dumps(self.kernel))
         ids, names = vectors.columns[:2], _features(vectors)
         kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in ids)
 
         def run(batches):
+            kernel = cloudpickle.loads(model.value)
             for pdf in batches:
-                values = function(model.value, pdf[names].to_numpy(dtype=float)) if len(pdf) else []
+                values = function(kernel, pdf[names].to_numpy(dtype=float)) if len(pdf) else []
                 yield pdf[ids].assign(**{out: np.asarray(values, dtype=float)})
 
         return vectors.mapInPandas(run, f"{kinds}, {out} double")

@@ -36,6 +36,6 @@ def binary_vectors_local(n: int, n_match: int, m: Sequence[float], u: Sequence[f
     rng = np.random.RandomState(random_state)
     x = np.empty((n, len(m)), dtype=np.int8)
     for i, (p, q) in enumerate(zip(m, u)):
-        x[:n_match, i] = rng.binomial(1, p, n_match)
-        x[n_match:, i] = rng.binomial(1, q, n - n_match)
+        x[:n_match, i] = rng.random_sample(n_match) >= 1 - p  # the upper end of the unit interval stands for 1
+        x[n_match:, i] = rng.random_sample(n - n_match) >= 1 - q
     return x, np.arange(n) < n_match
