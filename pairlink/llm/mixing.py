@@ -11,7 +11,7 @@ disjoint runs of each source's sequence; blocks are joined to them and every sha
 Nothing but the totals of the sources in the target table (at most ``max_sources``) reaches the driver.  A
 source with a third of all texts is spread over its blocks; ranks are prefix sums over buckets.
 
-Edge cases: null and empty texts have no token and aren't drawn, but their row counts for nothing; texts of
+Edge cases: null and empty texts have no token and aren't drawn, and count for nothing; texts of
 sources without a target count in the size of the mix only; a target without texts reaches 0; with no texts
 at all the mix is empty.
 """
@@ -113,7 +113,7 @@ class Mix:
 
         def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for shard in batch["id"]:
+                for shard in batch["id"] if names else ():
                     start, count = shard_runs(vector, shards, int(shard), seed)
                     yield pd.DataFrame({"shard": int(shard), "source": names, "first": start, "n": count})
 

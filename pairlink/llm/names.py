@@ -125,13 +125,48 @@ def _match(a: tuple[str, frozenset[str]], b: tuple[str, frozenset[str]]) -> floa
     return 0.9 if (a[0] in LEGAL) == (b[0] in LEGAL) and a[1] & b[1] else 0.0
 
 
+def _assign(gains: list[list[float]]) -> list[int]:
+    """Column of each row in an assignment of the greatest total gain (no more rows than columns), in cubic time."""
+    n, m = len(gains), len(gains[0])
+    row_price, col_price, row_of, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, done = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            done[j], r, step, nxt = True, row_of[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not done[k]:
+                    cost = -gains[r - 1][k - 1] - row_price[r] - col_price[k]
+                    if cost < least[k]:
+                        least[k], way[k] = cost, j
+                    if least[k] < step:
+                        step, nxt = least[k], k
+            for k in range(m + 1):
+                if done[k]:
+                    row_price[row_of[k]] += step
+                    col_price[k] -= step
+                else:
+                    least[k] -= step
+            j = nxt
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = way[j]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if row_of[j]:
+            out[row_of[j] - 1] = j - 1
+    return out
+
+
 def align(a: list[tuple[str, frozenset[str]]], b: list[tuple[str, frozenset[str]]]) -> tuple[float, list[tuple[int, int]]]:
-    """Optimal assignment of units by total gain, exact by recursion over the shorter list."""
+    """Optimal assignment of units by total gain: by recursion for short lists, else by shortest augmenting paths."""
     if len(a) > len(b):
         gain, pairs = align(b, a)
         return gain, [(j, i) for i, j in pairs]
-    a = a[:8]
     gains = [[_match(x, y) for y in b] for x in a]
+    if (len(b) + 1) ** len(a) > 5000:
+        pairs = [(i, j) for i, j in enumerate(_assign(gains)) if gains[i][j]]
+        return sum(gains[i][j] for i, j in pairs), pairs
 
     def best(i: int, used: int) -> tuple[float, tuple]:
         if i == len(a):

@@ -16,9 +16,12 @@ def deletes(token: Column, twice: Column) -> Column:
     return F.transform(F.array_distinct(F.concat(F.array(token), first, second)), lambda v: F.xxhash64(v))
 
 
-def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9) -> DataFrame:
-    """(tok, df, other, odf, edits): distinct tokens within one edit, long ones within two, by the symmetric-delete index."""
-    indexed = tokens.filter(F.length("tok") >= min_len).withColumn("v", F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)))
+def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9, max_len: int = 48) -> DataFrame:
+    """(tok, df, other, odf, edits): distinct tokens within one edit, long ones within two, by the symmetric-delete index.
+
+    A token of n characters has n (n + 1) / 2 entries; tokens over ``max_len`` characters are no words and stand for themselves.
+    """
+    indexed = tokens.filter(F.length("tok").between(min_len, max_len)).withColumn("v", F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)))
     other = indexed.select("v", F.col("tok").alias("other"), F.col("df").alias("odf"))
     pairs = indexed.join(other.hint("merge"), "v").filter("tok <> other and abs(length(tok) - length(other)) <= 2").select("tok", "df", "other", "odf").distinct()
     d = F.levenshtein("tok", "other", 2)
