@@ -207,6 +207,16 @@ def _verdict(r: Readings, wa: list[str], ia: list[str], wb: list[str], ib: list[
     return 1 if any(len(ua[i][0]) == 1 or len(ub[j][0]) == 1 for i, j in pairs) else 0
 
 
+def nickname_pairs(nicknames: DataFrame | None, given: str, nickname: str, most: int = 100_000) -> list[tuple[str, str]]:
+    """The list of nicknames in lower case; a list of more than ``most`` rows is refused."""
+    if nicknames is None:
+        return []
+    rows = nicknames.select(given, nickname).dropna().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} nicknames")
+    return [(a.lower(), b.lower()) for a, b in rows]
+
+
 def linked_names(
     entries: DataFrame, key: str, name: str, surname: str, nicknames: DataFrame | None = None, given: str = "given_name", nickname: str = "nickname", common_share: float = 0.001
 ) -> DataFrame:
@@ -214,7 +224,7 @@ def linked_names(
     spark = entries.sparkSession
     scratch = Scratch(spark, "names")
     src = entries.select(F.col(key).alias("e"), F.col(name).alias("name"), F.col(surname).alias("sur"))
-    nicks = [] if nicknames is None else [(a.lower(), b.lower()) for a, b in nicknames.select(given, nickname).dropna().limit(100_000).collect()]
+    nicks = nickname_pairs(nicknames, given, nickname)
     lexicon = {x for pair in nicks for x in pair}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
