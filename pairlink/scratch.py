@@ -31,6 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """At exit; a context that is gone already can't be asked any more."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 class Scratch:
     """Tables of one run of an iterative operator, in their own sub-folder of the shared folder."""
 
@@ -38,6 +52,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(_remove, spark, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Run ``df``, write it, and return a frame that reads what was written."""
@@ -49,11 +64,8 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
-        """Delete saved tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Delete saved tables that no later plan reads; the rest goes when the driver's program ends."""
         for df in frames:
             path = getattr(df, "_scratch_path", None)
             if path:
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(conf).delete(target, True)
+                _delete(self.spark, path)
