@@ -12,7 +12,9 @@ the order are spread by the tie breakers; an empty input gives an empty result;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +130,6 @@ def balanced_timeline(
 
 def heavy_keys(df: DataFrame, key: str, share: float, order_by: Sequence[str] = (), tie_break: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Non-null keys that hold at least ``share`` of all rows of ``df`` (null keys count among the rows)."""
-    total = df.count()
+    least = math.ceil(Fraction(str(share)) * df.count())  # exact where a product of floats isn't
     sizes = balanced_aggregate(df, [key], {"n_rows": ("count", None)}, order_by, tie_break, partitions)
-    return sizes.filter(F.col(key).isNotNull() & (F.col("n_rows") >= F.lit(share * total)))
+    return sizes.filter(F.col(key).isNotNull() & (F.col("n_rows") >= F.lit(least)))

@@ -358,6 +358,11 @@ def test_heavy_keys_and_timeline(spark):
         skew.balanced_aggregate(df, ["key"], {"n": ("median", "t")})
 
 
+def test_share_is_exact(spark):
+    df = spark.range(700).select(F.when(F.col("id") < 7, F.lit("just")).when(F.col("id") < 13, F.lit("less")).otherwise(F.col("id").cast("string")).alias("k"))
+    assert [r["k"] for r in skew.heavy_keys(df, "k", 0.01).collect()] == ["just"]
+
+
 def test_heavy_key_is_split_over_partitions(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
     sizes = [r["count"] for r in skew.range_partitioned(df, ["k"], ["id"], partitions=8).groupBy(F.spark_partition_id().alias("p")).count().collect()]
