@@ -29,26 +29,29 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}+", "")
 
 
+_without = strip_accents
+
+
 def _ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
 def clean(
     c: Column | str, lowercase: bool = True, replace_by_none: str | None = r"[^ \-\_A-Za-z0-9]+", replace_by_whitespace: str | None = r"[\-\_]",
-    strip_accents_by: str | Callable[[pd.Series], pd.Series] | None = None, remove_brackets: bool = True,
+    strip_accents: str | Callable[[pd.Series], pd.Series] | None = None, remove_brackets: bool = True,
 ) -> Column:
     """Lower case, accents off, brackets with their content out, then the two patterns, single blanks, trimmed.  Null stays null."""
     c = F.col(c) if isinstance(c, str) else c
     if lowercase:
         c = F.lower(c)
-    if callable(strip_accents_by):
-        c = F.pandas_udf(strip_accents_by, StringType())(c)
-    elif strip_accents_by == "unicode":
-        c = strip_accents(c)
-    elif strip_accents_by == "ascii":
+    if callable(strip_accents):
+        c = F.pandas_udf(strip_accents, StringType())(c)
+    elif strip_accents == "unicode":
+        c = _without(c)
+    elif strip_accents == "ascii":
         c = F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.pandas_udf(_ascii, StringType())(c))
-    elif strip_accents_by is not None:
-        raise ValueError(f"invalid value for strip_accents: {strip_accents_by!r}")
+    elif strip_accents is not None:
+        raise ValueError(f"invalid value for strip_accents: {strip_accents!r}")
     if remove_brackets:
         c = F.regexp_replace(c, r"(?d)(\[.*?\]|\(.*?\)|\{.*?\})", "")
     if replace_by_none:
