@@ -8,7 +8,8 @@ that are still to come; at the end each container shrinks to the smallest permit
 contents.  A shard leaves a few part-filled containers at most, so the loss falls with the shard size.
 
 Edge cases: null and empty texts have no token and get no container; ties are packed in key order, so the
-result is deterministic; repeated keys are separate items; other columns are pruned.
+result is deterministic; repeated keys are separate items, and a key that fills more
+than a shard by itself is dealt out over all of them; other columns are pruned.
 """
 
 from __future__ import annotations
@@ -117,7 +118,10 @@ def pack_sizes(sizes: DataFrame, key: str, size: str, capacity: int, lengths: Se
         out["first_token"] = out["piece_no"] * capacity
         return out[[f.name for f in schema.fields]]
 
-    sharded = items.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
+    # a key of more rows than a shard should hold is dealt out over all shards
+    heavy = items.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > shard_items).select(F.col("k").alias("hk"), F.lit(True).alias("hot"))
+    at = F.xxhash64("k") + F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(0)
+    sharded = items.join(heavy, F.col("k").eqNullSafe(F.col("hk")), "left").withColumn("s", F.pmod(at, F.lit(shards)).cast("int")).select("k", "n", "s")
     return sharded.groupBy("s").applyInPandas(fill, schema).withColumnRenamed("k", key)
 
 

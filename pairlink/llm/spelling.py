@@ -21,7 +21,8 @@ def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9, max_len:
 
     A token of n characters has n (n + 1) / 2 entries; tokens over ``max_len`` characters are no words and stand for themselves.
     """
-    indexed = tokens.filter(F.length("tok").between(min_len, max_len)).withColumn("v", F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)))
+    spread = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of tokens become many entries: keep all tasks busy
+    indexed = tokens.filter(F.length("tok").between(min_len, max_len)).repartition(spread, "tok").withColumn("v", F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)))
     other = indexed.select("v", F.col("tok").alias("other"), F.col("df").alias("odf"))
     pairs = indexed.join(other.hint("merge"), "v").filter("tok <> other and abs(length(tok) - length(other)) <= 2").select("tok", "df", "other", "odf").distinct()
     d = F.levenshtein("tok", "other", 2)

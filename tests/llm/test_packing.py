@@ -52,3 +52,11 @@ def test_exact_capacity_is_not_split(spark):
     assert {(r["id"], r["n_pieces"]) for r in packed} == {(1, 1), (2, 2), (3, 2)}
     with pytest.raises(ValueError):
         pack_sizes(spark.createDataFrame([(1, 16)], "id long, n long"), "id", "n", 16, lengths=[4, 8])
+
+
+def test_popular_key_is_spread(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, id, 7) AS id", "id % 50 + 1 AS n")
+    packed = pack_sizes(df, "id", "n", 64, shard_items=100).cache()
+    assert packed.count() == 3000 and packed.agg(F.sum("n_tokens")).first()[0] == df.agg(F.sum("n")).first()[0]
+    sizes = [r["count"] for r in packed.groupBy("shard").count().collect()]
+    assert max(sizes) < 400
