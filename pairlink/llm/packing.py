@@ -120,7 +120,7 @@ def pack_sizes(sizes: DataFrame, key: str, size: str, capacity: int, lengths: Se
 
     # a key of more rows than a shard should hold is dealt out over all shards
     heavy = items.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > shard_items).select(F.col("k").alias("hk"), F.lit(True).alias("hot"))
-    at = F.xxhash64("k") + F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(0)
+    at = F.pmod(F.xxhash64("k"), F.lit(shards)) + F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(shards))).otherwise(0)
     sharded = items.join(heavy, F.col("k").eqNullSafe(F.col("hk")), "left").withColumn("s", F.pmod(at, F.lit(shards)).cast("int")).select("k", "n", "s")
     return sharded.groupBy("s").applyInPandas(fill, schema).withColumnRenamed("k", key)
 
