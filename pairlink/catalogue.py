@@ -142,11 +142,11 @@ CUSTOMER_IDS = "a.c_custkey AS c_custkey_1, b.c_custkey AS c_custkey_2"
 
 
 def part_features(spark, folder, compare: Compare) -> DataFrame:
-    return block_and_compare(indexing.Block(["p_brand", "p_size"]), compare, records(spark, folder, "part"))
+    return block_and_compare(indexing.Block(["p_brand", "p_size"]), compare, records(spark, folder, "part"), spread=spark.sparkContext.defaultParallelism)
 
 
 def customer_features(spark, folder, compare: Compare) -> DataFrame:
-    return block_and_compare(indexing.Block(["c_nationkey", "c_mktsegment"]), compare, records(spark, folder, "customer"))
+    return block_and_compare(indexing.Block(["c_nationkey", "c_mktsegment"]), compare, records(spark, folder, "customer"), spread=spark.sparkContext.defaultParallelism)
 
 
 @query(f"SELECT {PART_IDS}, CASE WHEN a.p_type IS NULL OR b.p_type IS NULL THEN 0.0 WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END::DOUBLE AS same FROM {PART_PAIRS}")

@@ -15,13 +15,20 @@ from pairlink.operators.indexing import Block
 from pairlink.records import pair_names, same_family, sides
 
 
-def block_and_compare(block: Block, compare: Compare, x, x_link=None) -> DataFrame:
-    """The same rows as ``compare.compute(block.index(x, x_link), x, x_link)``."""
+def block_and_compare(block: Block, compare: Compare, x, x_link=None, spread: int | None = None) -> DataFrame:
+    """The same rows as ``compare.compute(block.index(x, x_link), x, x_link)``.
+
+    ``spread`` deals the left records over that many partitions first.  It is for tables of a file or two,
+    whose pairs would otherwise all be compared in the few tasks that read them; large tables have enough
+    splits of their own and shouldn't pay for it.
+    """
     a, b = sides(x, x_link)
     one, two = pair_names(a, b)
     dedup, b = b is None, b or a
     left, right = compare.needed()
     l, r = a.columns([*left, *block.left_on], "l"), b.columns([*right, *block.right_on], "r")
+    if spread:
+        l = l.repartition(spread)
     on = F.col("lord") > F.col("rord") if dedup else F.lit(True)
     for i in range(len(block.left_on)):
         lk, rk = f"l{len(left) + i}", f"r{len(right) + i}"
