@@ -5,7 +5,8 @@
    one), for long tokens within two; a rare token takes the spelling of its frequent neighbour.  Split words
    ("kitpu givous") are mended when the joined word is known.
 3. The identifying token of a form is its rarest one, or what its surname field says; forms are compared
-   when they share an identifying token and a reading (nickname, abbreviation, initial) of another one.
+   when they share an identifying token, or have near ones, and a reading (nickname, abbreviation, initial)
+   of another one.
 4. The other tokens are aligned by optimal assignment, permitting nicknames, abbreviations and initials.  Two
    forms are linked unless both keep a content word or an initial that nothing explains.
 5. A form that gives only an initial is linked to the one name that its group offers for it; when several
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlink.llm.spelling import spellings
+from pairlink.llm.spelling import near_tokens, spellings
 from pairlink.scratch import Scratch
 
 # Forms of address and legal forms; they neither identify nor contradict.
@@ -255,11 +256,13 @@ def linked_names(
     ).select("form", "n", "c.*")
     plain = F.col("kind") != "j"
     tokens = scratch.save(cells.groupBy("tok").agg(F.sum(F.when(plain, F.col("n")).otherwise(0)).alias("df")))
-    spelt = scratch.save(spellings(tokens.filter((F.length("tok") >= 2)), lexicon, scratch))
+    able = tokens.filter(F.length("tok") >= 2)
+    near = scratch.save(near_tokens(able))
+    spelt = scratch.save(spellings(able, lexicon, scratch, near))
     cells = cells.join(spelt.hint("merge"), "tok")
     own = tokens.select("tok", F.col("df").alias("own"))
     cells = cells.join(own.hint("merge"), "tok").filter(plain | (F.col("cdf") > 0))
-    shaped = scratch.save(cells.groupBy("form").agg(F.first("n").alias("n"), F.collect_list(F.struct("kind", "pos", "canon", "cdf", "own")).alias("cells")))
+    shaped = scratch.save(cells.groupBy("form").agg(F.first("n").alias("n"), F.collect_list(F.struct("kind", "pos", "tok", "canon", "cdf", "own")).alias("cells")))
 
     total = forms.agg(F.sum("n")).first()[0] or 0
     floor = max(5, int(common_share * total))
@@ -273,33 +276,35 @@ def linked_names(
             rows = []
             for f, n, cs in zip(pdf["form"], pdf["n"], pdf["cells"]):
                 initials = f.split("|")[1].split()
-                words = {c["pos"]: (c["canon"], c["cdf"]) for c in cs if c["kind"] == "w"}
-                surs = [(c["canon"], c["cdf"]) for c in cs if c["kind"] == "s"]
+                words = {c["pos"]: (c["canon"], c["cdf"], c["tok"]) for c in cs if c["kind"] == "w"}
+                surs = [(c["canon"], c["tok"]) for c in cs if c["kind"] == "s"]
                 ids = []
                 for c in sorted((c for c in cs if c["kind"] == "j"), key=lambda c: c["pos"]):
                     # two words that are one elsewhere: known as one word, and the parts are rarer than the whole
                     parts = [words.get(c["pos"]), words.get(c["pos"] + 1)]
                     if None not in parts and len(c["canon"]) >= 6 and min(p[1] for p in parts) <= c["cdf"] and not {p[0] for p in parts} & skip:
-                        words[c["pos"]] = (c["canon"], c["cdf"])
+                        words[c["pos"]] = (c["canon"], c["cdf"], c["tok"])
                         del words[c["pos"] + 1]
                 at = None
                 if surs and surs[0][0] not in skip and len(surs[0][0]) > 2:
-                    ids.append(surs[0][0])
+                    ids.append(surs[0])
                     at = next((p for p, w in words.items() if w[0] == surs[0][0]), None)
                 if at is None:
                     able = [(w[1], p) for p, w in words.items() if w[0] not in skip and len(w[0]) >= 4]
                     able = [(n, p) for n, p in able if r.of(words[p][0]) == {words[p][0]}] or able
                     if able:
                         at = min(able)[1]
-                        ids.append(words[at][0])
+                        ids.append((words[at][0], words[at][2]))
+                elif words[at][2] != surs[0][1]:
+                    ids.append((words[at][0], words[at][2]))
                 rest = [w[0] for p, w in sorted(words.items()) if p != at]
-                rows.append((f, n, list(dict.fromkeys(ids)), rest, initials))
+                rows.append((f, n, [{"id": i, "tok": t} for i, t in dict.fromkeys(ids)], rest, initials))
             yield pd.DataFrame(rows, columns=["form", "n", "ids", "rest", "initials"])
 
-    who = scratch.save(shaped.mapInPandas(identify, "form string, n long, ids array<string>, rest array<string>, initials array<string>"))
+    who = scratch.save(shaped.mapInPandas(identify, "form string, n long, ids array<struct<id:string,tok:string>>, rest array<string>, initials array<string>"))
 
     # nicknames that no list has: common words that keep company with one given name in the same groups
-    seen = who.select(F.explode("ids").alias("id"), "rest").select("id", F.explode("rest").alias("w"))
+    seen = who.select(F.explode("ids.id").alias("id"), "rest").select("id", F.explode("rest").alias("w"))
     learned: dict[str, str] = {}
     if nicks:
         seen = scratch.save(seen.distinct())
@@ -320,19 +325,25 @@ def linked_names(
                 reads = sorted({x for w in words for x in r.of(w)})
                 letters = sorted({x[0] for x in reads})
                 for i in ids:
-                    rows += [(f, n, rest, initials, i, "=" + x, False) for x in reads]
-                    rows += [(f, n, rest, initials, i, "^" + x, False) for x in letters]
+                    rows += [(f, i["id"], i["tok"], "=" + x, False) for x in reads]
+                    rows += [(f, i["id"], i["tok"], "^" + x, False) for x in letters]
                     if not words:
-                        rows += [(f, n, rest, initials, i, "^" + x, True) for x in sorted(set(initials)) or [""]]
-            yield pd.DataFrame(rows, columns=["form", "n", "rest", "initials", "id", "second", "vague"])
+                        rows += [(f, i["id"], i["tok"], "^" + x, True) for x in sorted(set(initials)) or [""]]
+            yield pd.DataFrame(rows, columns=["form", "id", "tok", "second", "vague"])
 
-    index = scratch.save(who.mapInPandas(keys, "form string, n long, rest array<string>, initials array<string>, id string, second string, vague boolean"))
+    index = scratch.save(who.mapInPandas(keys, "form string, id string, tok string, second string, vague boolean"))
     # words meet words under a reading; a form with initials only meets all forms under its letter
     a = index.select("id", "second", F.col("form").alias("fa"), F.col("vague").alias("va"))
     b = index.select("id", "second", F.col("form").alias("fb"), F.col("vague").alias("vb"))
     words = a.filter("second like '=%'").join(b.hint("merge"), ["id", "second"]).filter("fa < fb").select("fa", "fb")
     vague = a.filter("va").join(b.hint("merge"), ["id", "second"]).filter("fa <> fb").select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
-    pairs = words.union(vague).distinct()
+    # so do forms whose identifying tokens are near but keep different spellings
+    a = index.select("tok", "second", F.col("id").alias("ida"), F.col("form").alias("fa"), F.col("vague").alias("va"))
+    b = index.select(F.col("tok").alias("other"), "second", F.col("id").alias("idb"), F.col("form").alias("fb"), F.col("vague").alias("vb"))
+    apart = near.select("tok", "other").join(spelt.select("tok", F.col("canon").alias("c1")).hint("merge"), "tok").join(spelt.select(F.col("tok").alias("other"), F.col("canon").alias("c2")).hint("merge"), "other").filter("c1 <> c2")
+    close = a.join(apart.select("tok", "other").hint("merge"), "tok").join(b.hint("merge"), ["other", "second"])
+    close = close.filter("ida <> idb and fa < fb and (second like '=%' or va or vb)").select("fa", "fb")
+    pairs = words.union(vague).union(close).distinct()
     side = who.select("form", "rest", "initials", "n")
     for x in "ab":
         pairs = pairs.join(side.select(F.col("form").alias(f"f{x}"), F.col("rest").alias(f"w{x}"), F.col("initials").alias(f"i{x}"), F.col("n").alias(f"n{x}")).hint("merge"), f"f{x}")

@@ -30,9 +30,9 @@ def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9, max_len:
     return pairs.withColumn("d", d).filter("d >= 1").withColumn("edits", F.when((F.col("d") == 2) & swap, 1).otherwise(F.col("d"))).drop("d")
 
 
-def spellings(tokens: DataFrame, fixed: set[str], scratch: Scratch) -> DataFrame:
-    """(tok, canon, cdf): the spelling each token stands for and in how many names that occurs."""
-    near = near_tokens(tokens)
+def spellings(tokens: DataFrame, fixed: set[str], scratch: Scratch, near: DataFrame | None = None) -> DataFrame:
+    """(tok, canon, cdf): the spelling each token stands for and in how many names that occurs; ``near`` are the near tokens if known."""
+    near = near_tokens(tokens) if near is None else near
     better = (F.col("odf") > F.col("df")) | ((F.col("odf") == F.col("df")) & (F.col("other") < F.col("tok")))
     plausible = F.when(F.col("edits") == 1, (F.col("df") <= 2) | (F.col("odf") >= 3 * F.col("df"))).otherwise((F.length("tok") >= 9) & (F.col("odf") >= F.when(F.col("df") <= 2, 3).otherwise(10) * F.col("df")))
     near = near.filter(better & plausible)
@@ -40,9 +40,13 @@ def spellings(tokens: DataFrame, fixed: set[str], scratch: Scratch) -> DataFrame
         near = near.filter(~F.col("tok").isin(sorted(fixed)))
     best = near.groupBy("tok").agg(F.max(F.struct(-F.col("edits"), F.col("odf"), F.col("other"))).getField("other").alias("up"))
     one = scratch.save(tokens.join(best.hint("merge"), "tok", "left").select("tok", "df", F.coalesce("up", "tok").alias("up")))
-    for _ in range(2):
+    # pointer doubling; a token only adopts a better one, so there are no circles and the last step moves none
+    moved = True
+    while moved:
         above = one.select(F.col("tok").alias("up"), F.col("up").alias("top"))
-        one = one.join(above.hint("merge"), "up", "left").select("tok", "df", F.coalesce("top", "up").alias("up"))
-    one = scratch.save(one)
+        step = scratch.save(one.join(above.hint("merge"), "up", "left").select("tok", "df", F.coalesce("top", "up").alias("up"), F.coalesce(F.col("top") != F.col("up"), F.lit(False)).alias("moved")))
+        scratch.drop(one)
+        one = step
+        moved = not one.filter("moved").isEmpty()
     sums = one.groupBy("up").agg(F.sum("df").alias("cdf"))
     return one.join(sums.hint("merge"), "up").select("tok", F.col("up").alias("canon"), "cdf")

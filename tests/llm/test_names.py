@@ -4,7 +4,8 @@ import random
 import pytest
 
 from pairlink.llm.names import Readings, _assign, abbreviates, align, linked_names, split_name
-from pairlink.llm.spelling import near_tokens
+from pairlink.llm.spelling import near_tokens, spellings
+from pairlink.scratch import Scratch
 
 NICKS = [("Robert", "Bob"), ("Margaret", "Peggy"), ("Catherine", "Kate")]
 #: entity -> entries (name, surname field)
@@ -107,3 +108,16 @@ def test_edit_index_equals_brute_force(spark):
             assert ((a, b) in got) == (edits(a, b) <= 2), (a, b)
         elif min(len(a), len(b)) >= 5 and edits(a, b) <= 1:
             assert (a, b) in got
+
+
+def test_near_spellings_used_equally_often_are_linked(spark, nicks, filler):
+    rows = [(i, f"{('Toedsawudourd', 'Toedzawudourd')[i % 2]} {t}", None) for i, t in enumerate(["Milling", "Milling Ltd", "The Milling"] * 2)]
+    rows += [(10 + i, f"Toedsawudourd Dairy{t}", None) for i, t in enumerate(["", " Ltd"])] + [(100 + i, *f) for i, f in enumerate(filler)]
+    got = {tuple(r) for r in linked_names(spark.createDataFrame(rows, "id long, n string, s string"), "id", "n", "s", nicks).collect()}
+    assert {p for p in got if p[0] < 100} == set(itertools.combinations(range(6), 2)) | {(10, 11)}
+
+
+def test_adoptions_are_followed_to_the_end(spark):
+    chain = ["hallower", "hallowar", "hallowas", "hallodas", "hallidas", "hablidas", "tablidas", "tublidas"]
+    df = spark.createDataFrame([(w, n) for w, n in zip(chain, (1, 2, 6, 18, 54, 162, 486, 1458))], "tok string, df long")
+    assert {r["canon"] for r in spellings(df, set(), Scratch(spark, "test")).collect()} == {"tublidas"}
