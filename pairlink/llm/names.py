@@ -4,9 +4,10 @@
 2. A symmetric-delete index over the distinct tokens finds those within one edit (an adjacent swap counts as
    one), for long tokens within two; a rare token takes the spelling of its frequent neighbour.  Split words
    ("kitpu givous") are mended when the joined word is known.
-3. The identifying token of a form is its rarest one, or what its surname field says; forms are compared
-   when they share an identifying token, or have near ones, and a reading (nickname, abbreviation, initial)
-   of another one.
+3. Every word of a form but listed given names, titles and legal forms is an identifying token, and so is
+   what its surname field says; forms are compared when they share an identifying token, or have near ones,
+   and a reading (nickname, abbreviation, initial) of another one.  A form's own word (the surname, else the
+   rarest word) may stay unexplained only where a surname field confirms the shared token.
 4. The other tokens are aligned by optimal assignment, permitting nicknames, abbreviations and initials.  Two
    forms are linked unless both keep a content word or an initial that nothing explains.
 5. A form that gives only an initial is linked to the one name that its group offers for it; when several
@@ -184,8 +185,11 @@ def align(a: list[tuple[str, frozenset[str]]], b: list[tuple[str, frozenset[str]
     return gain, list(pairs)
 
 
-def _verdict(r: Readings, wa: list[str], ia: list[str], wb: list[str], ib: list[str]) -> int:
-    """2: the names agree, 1: they agree by initials only, 0: they differ or say too little."""
+def _verdict(r: Readings, wa: list[str], ia: list[str], wb: list[str], ib: list[str], own: tuple[str, ...] = ()) -> int:
+    """2: the names agree, 1: they agree by initials only, 0: they differ or say too little.
+
+    ``own`` are words that tell a name from others that share the rest, so nothing agrees without them.
+    """
     ua = [(w, r.of(w)) for w in wa if w not in TITLES] + [(c, frozenset()) for c in ia]
     ub = [(w, r.of(w)) for w in wb if w not in TITLES] + [(c, frozenset()) for c in ib]
     if not ua and not ub:
@@ -196,6 +200,8 @@ def _verdict(r: Readings, wa: list[str], ia: list[str], wb: list[str], ib: list[
     left_b = [u for j, u in enumerate(ub) if j not in {q for _, q in pairs}]
     if any(map(content, left_a)) and any(map(content, left_b)):
         return 0
+    if any(u[0] in own for u in left_a + left_b):
+        return 0
     letters = lambda left: [u for u in left if len(u[0]) == 1]
     if letters(left_a) and letters(left_b):
         return 0
@@ -297,14 +303,22 @@ def linked_names(
                         ids.append((words[at][0], words[at][2]))
                 elif words[at][2] != surs[0][1]:
                     ids.append((words[at][0], words[at][2]))
-                rest = [w[0] for p, w in sorted(words.items()) if p != at]
-                rows.append((f, n, [{"id": i, "tok": t} for i, t in dict.fromkeys(ids)], rest, initials))
-            yield pd.DataFrame(rows, columns=["form", "n", "ids", "rest", "initials"])
-
-    who = scratch.save(shaped.mapInPandas(identify, "form string, n long, ids array<struct<id:string,tok:string>>, rest array<string>, initials array<string>"))
+                without = {p: [w[0] for q, w in sorted(words.items()) if q != p] for p in [*words, None]}
+                sure = surs[0][0] if surs else None
+                first = [{"id": i, "tok": t, "rest": without[at], "sure": i == sure} for i, t in dict.fromkeys(ids)]
+                # which word is the surname or the firm's own is a guess, so the others identify as well
+                more = [{"id": w[0], "tok": w[2], "rest": without[p], "sure": False} for p, w in sorted(words.items()) if p != at and w[0] not in skip and len(w[0]) >= 4]
+                # the word that another form must not leave out; beside a listed given name the rarest may be a given name too
+                told = at is not None and words[at][0] == sure
+                own = words[at][0] if at is not None and (told or not any(w[0] in lexicon for w in words.values())) else ""
+                rows.append((f, n, first + more, [x["id"] for x in first], without[at], own, initials))
+            yield pd.DataFrame(rows, columns=["form", "n", "ids", "first", "rest", "own", "initials"])
+
+    id_type = "struct<id:string,tok:string,rest:array<string>,sure:boolean>"
+    who = scratch.save(shaped.mapInPandas(identify, f"form string, n long, ids array<{id_type}>, first array<string>, rest array<string>, own string, initials array<string>"))
 
     # nicknames that no list has: common words that keep company with one given name in the same groups
-    seen = who.select(F.explode("ids.id").alias("id"), "rest").select("id", F.explode("rest").alias("w"))
+    seen = who.select(F.explode("first").alias("id"), "rest").select("id", F.explode("rest").alias("w"))
     learned: dict[str, str] = {}
     if nicks:
         seen = scratch.save(seen.distinct())
@@ -320,11 +334,11 @@ def linked_names(
         r = model.value
         for pdf in batches:
             rows = []
-            for f, n, ids, rest, initials in zip(pdf["form"], pdf["n"], pdf["ids"], pdf["rest"], pdf["initials"]):
-                words = [w for w in rest if w not in TITLES | LEGAL]
-                reads = sorted({x for w in words for x in r.of(w)})
-                letters = sorted({x[0] for x in reads})
+            for f, ids, initials in zip(pdf["form"], pdf["ids"], pdf["initials"]):
                 for i in ids:
+                    words = [w for w in i["rest"] if w not in TITLES | LEGAL]
+                    reads = sorted({x for w in words for x in r.of(w)})
+                    letters = sorted({x[0] for x in reads})
                     rows += [(f, i["id"], i["tok"], "=" + x, False) for x in reads]
                     rows += [(f, i["id"], i["tok"], "^" + x, False) for x in letters]
                     if not words:
@@ -335,28 +349,33 @@ def linked_names(
     # words meet words under a reading; a form with initials only meets all forms under its letter
     a = index.select("id", "second", F.col("form").alias("fa"), F.col("vague").alias("va"))
     b = index.select("id", "second", F.col("form").alias("fb"), F.col("vague").alias("vb"))
-    words = a.filter("second like '=%'").join(b.hint("merge"), ["id", "second"]).filter("fa < fb").select("fa", "fb")
-    vague = a.filter("va").join(b.hint("merge"), ["id", "second"]).filter("fa <> fb").select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
+    same_id = (F.col("id").alias("ida"), F.col("id").alias("idb"))
+    words = a.filter("second like '=%'").join(b.hint("merge"), ["id", "second"]).filter("fa < fb").select("fa", "fb", *same_id)
+    vague = a.filter("va").join(b.hint("merge"), ["id", "second"]).filter("fa <> fb").select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"), *same_id)
     # so do forms whose identifying tokens are near but keep different spellings
     a = index.select("tok", "second", F.col("id").alias("ida"), F.col("form").alias("fa"), F.col("vague").alias("va"))
     b = index.select(F.col("tok").alias("other"), "second", F.col("id").alias("idb"), F.col("form").alias("fb"), F.col("vague").alias("vb"))
     apart = near.select("tok", "other").join(spelt.select("tok", F.col("canon").alias("c1")).hint("merge"), "tok").join(spelt.select(F.col("tok").alias("other"), F.col("canon").alias("c2")).hint("merge"), "other").filter("c1 <> c2")
     close = a.join(apart.select("tok", "other").hint("merge"), "tok").join(b.hint("merge"), ["other", "second"])
-    close = close.filter("ida <> idb and fa < fb and (second like '=%' or va or vb)").select("fa", "fb")
+    close = close.filter("ida <> idb and fa < fb and (second like '=%' or va or vb)").select("fa", "fb", "ida", "idb")
     pairs = words.union(vague).union(close).distinct()
-    side = who.select("form", "rest", "initials", "n")
+    side = who.select("form", "initials", "n", "own", F.explode("ids").alias("x")).select("form", "initials", "n", "own", "x.id", "x.rest", "x.sure").dropDuplicates(["form", "id"])
+    cols = {"form": "f", "id": "id", "rest": "w", "initials": "i", "n": "n", "own": "o", "sure": "s"}
     for x in "ab":
-        pairs = pairs.join(side.select(F.col("form").alias(f"f{x}"), F.col("rest").alias(f"w{x}"), F.col("initials").alias(f"i{x}"), F.col("n").alias(f"n{x}")).hint("merge"), f"f{x}")
+        pairs = pairs.join(side.select(*(F.col(c).alias(k + x) for c, k in cols.items())).hint("merge"), [f"f{x}", f"id{x}"])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = model.value
         says = lambda ws: any(w not in TITLES | LEGAL for w in ws)
         for pdf in batches:
-            out = [_verdict(r, list(wa), list(ia), list(wb), list(ib)) for wa, ia, wb, ib in zip(pdf["wa"], pdf["ia"], pdf["wb"], pdf["ib"])]
+            known = pdf["sa"] | pdf["sb"]  # a surname field says that the shared word is the surname
+            owns = [() if k else (oa, ob) for k, oa, ob in zip(known, pdf["oa"], pdf["ob"])]
+            out = [_verdict(r, list(wa), list(ia), list(wb), list(ib), own) for wa, ia, wb, ib, own in zip(pdf["wa"], pdf["ia"], pdf["wb"], pdf["ib"], owns)]
             res = pdf[["fa", "fb", "na", "nb"]].assign(v=out, ta=[says(w) for w in pdf["wa"]], tb=[says(w) for w in pdf["wb"]])
             yield res[res["v"] > 0]
 
-    judged = scratch.save(pairs.mapInPandas(judge, "fa string, fb string, na long, nb long, v int, ta boolean, tb boolean"))
+    judged = pairs.mapInPandas(judge, "fa string, fb string, na long, nb long, v int, ta boolean, tb boolean")
+    judged = scratch.save(judged.groupBy("fa", "fb", "na", "nb").agg(F.max(F.struct("v", "ta", "tb")).alias("x")).select("fa", "fb", "na", "nb", "x.*"))
     strong = judged.filter("v = 2").select("fa", "fb")
     # what an initial may stand for in its group, by the entries that say so; forms that agree are one name
     first = strong.union(strong.select("fb", "fa")).groupBy(F.col("fa").alias("o")).agg(F.min("fb").alias("g"))

@@ -121,3 +121,12 @@ def test_adoptions_are_followed_to_the_end(spark):
     chain = ["hallower", "hallowar", "hallowas", "hallodas", "hallidas", "hablidas", "tablidas", "tublidas"]
     df = spark.createDataFrame([(w, n) for w, n in zip(chain, (1, 2, 6, 18, 54, 162, 486, 1458))], "tok string, df long")
     assert {r["canon"] for r in spellings(df, set(), Scratch(spark, "test")).collect()} == {"tublidas"}
+
+
+def test_null_surname_and_a_rarer_unlisted_given_name(spark, nicks):
+    rows = [(1, "Musgitusur,Dottie", None), (2, "Musgitusur,Dottie", "Musgitusur"), (3, "Dottie Musgitusur", "Musgitusur"), (4, "Dr Dottie Musgitusur", None), (5, "Dottie Musgitusur", "Dottie")]
+    rows += [(6, "Zerbal Musgitusur", "Musgitusur"), (7, "Dottie Quenlivard", "Quenlivard"), (8, "Milling Dairy", None), (9, "Vostrelune Milling Dairy", None)]
+    rows += [(100 + i, f"{g} {s}", s) for i, (g, s) in enumerate(itertools.product(["Robert", "Margaret"], ["Musgitusur"] * 3 + ["Quenlivard"] * 3))]
+    rows += [(200 + i, f"{s}oxx Milling Dairy", None) for i, s in enumerate(["Abrik", "Bendor", "Cladun"])]
+    got = {tuple(r) for r in linked_names(spark.createDataFrame(rows, "id long, n string, s string"), "id", "n", "s", nicks).collect()}
+    assert {p for p in got if p[0] < 100} == set(itertools.combinations(range(1, 6), 2))
