@@ -16,8 +16,9 @@
 The common words (in at least ``common_share`` of the names, so at most tokens-per-name / common_share many)
 go to the driver; everything else stays distributed.  Hot identifying tokens are split by the second key.
 
-Edge cases: null and empty names link to nothing; the surname may be null or hold something else; equal
-names are linked unless they lack any identifying token; ids are compared as numbers or text as they are.
+Edge cases: null and empty names link to nothing, nor does a single initial; the surname may be null or hold
+something else; equal names are always linked; where all words are short or listed given names, any of them
+identifies the form; ids are compared as numbers or text as they are.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def split_name(name: str | None) -> tuple[list[str], list[str]]:
     for token in _TOKEN.findall(_JOIN.sub("", name)):
         letters = token.replace(".", "")
         low = letters.lower()
-        if len(letters) == 1 and not letters.isdigit():
+        if len(letters) == 1 and not letters.isdigit() and letters.lower() != letters.upper():
             initials.append(low)
         elif _DOTTED.match(token) or (len(letters) == 2 and mixed and letters.isupper() and low not in TITLES | LEGAL):
             initials.extend(low)
@@ -192,7 +193,7 @@ def _verdict(r: Readings, wa: list[str], ia: list[str], wb: list[str], ib: list[
     """
     ua = [(w, r.of(w)) for w in wa if w not in TITLES] + [(c, frozenset()) for c in ia]
     ub = [(w, r.of(w)) for w in wb if w not in TITLES] + [(c, frozenset()) for c in ib]
-    if not ua and not ub:
+    if sorted(u[0] for u in ua) == sorted(u[0] for u in ub) and (wa or not ua):
         return 2
     _, pairs = align(ua, ub)
     content = lambda u: len(u[0]) > 1 and u[0] not in LEGAL
@@ -246,7 +247,7 @@ def linked_names(
     e_type = src.schema["e"].dataType.simpleString()
     parsed = src.mapInPandas(parse, f"e {e_type}, words array<string>, initials array<string>, sur string")
     form = F.concat_ws("|", F.concat_ws(" ", "words"), F.concat_ws(" ", "initials"), "sur")
-    parsed = scratch.save(parsed.filter("size(words) > 0").withColumn("form", form))
+    parsed = scratch.save(parsed.filter("size(words) > 0 or size(initials) > 1").withColumn("form", form))
     forms = scratch.save(parsed.groupBy("form").agg(F.first("words").alias("words"), F.first("initials").alias("initials"), F.first("sur").alias("sur"), F.count("*").alias("n")))
 
     # spellings of all tokens, of surname fields, and of neighbouring words joined
@@ -262,7 +263,7 @@ def linked_names(
     ).select("form", "n", "c.*")
     plain = F.col("kind") != "j"
     tokens = scratch.save(cells.groupBy("tok").agg(F.sum(F.when(plain, F.col("n")).otherwise(0)).alias("df")))
-    able = tokens.filter(F.length("tok") >= 2)
+    able = tokens.filter((F.length("tok") >= 2) | F.col("tok").rlike(r"^\p{Lo}$"))
     near = scratch.save(near_tokens(able))
     spelt = scratch.save(spellings(able, lexicon, scratch, near))
     cells = cells.join(spelt.hint("merge"), "tok")
@@ -308,6 +309,13 @@ def linked_names(
                 first = [{"id": i, "tok": t, "rest": without[at], "sure": i == sure} for i, t in dict.fromkeys(ids)]
                 # which word is the surname or the firm's own is a guess, so the others identify as well
                 more = [{"id": w[0], "tok": w[2], "rest": without[p], "sure": False} for p, w in sorted(words.items()) if p != at and w[0] not in skip and len(w[0]) >= 4]
+                if sure and sure not in TITLES | LEGAL and not any(x["id"] == sure for x in first):
+                    more.append({"id": sure, "tok": surs[0][1], "rest": without[next((p for p, w in words.items() if w[0] == sure), at)], "sure": True})
+                if not first or all(w[0] in skip or len(w[0]) < 4 for w in words.values()):
+                    # short or listed words only: any word identifies, titles and legal forms where there is no other
+                    for p, w in sorted(words.items()):
+                        if p != at and (w[0] not in TITLES | LEGAL or not words.keys() - {q for q, v in words.items() if v[0] in TITLES | LEGAL}):
+                            more.append({"id": w[0], "tok": w[2], "rest": without[p], "sure": w[0] == sure})
                 # the word that another form must not leave out; beside a listed given name the rarest may be a given name too
                 told = at is not None and words[at][0] == sure
                 own = words[at][0] if at is not None and (told or not any(w[0] in lexicon for w in words.values())) else ""
@@ -396,7 +404,5 @@ def linked_names(
 
     entry = parsed.select("e", "form")
     across = linked.join(entry.select(F.col("form").alias("fa"), F.col("e").alias("x")).hint("merge"), "fa").join(entry.select(F.col("form").alias("fb"), F.col("e").alias("y")).hint("merge"), "fb").select("x", "y")
-    named = who.filter("size(ids) > 0").select("form")
-    same = entry.join(named.hint("merge"), "form")
-    same = same.select("form", F.col("e").alias("x")).join(same.select("form", F.col("e").alias("y")).hint("merge"), "form").filter("x < y").select("x", "y")
+    same = entry.select("form", F.col("e").alias("x")).join(entry.select("form", F.col("e").alias("y")).hint("merge"), "form").filter("x < y").select("x", "y")
     return across.union(same).select(F.least("x", "y").alias(f"{key}_1"), F.greatest("x", "y").alias(f"{key}_2")).filter(F.col(f"{key}_1") != F.col(f"{key}_2")).distinct()

@@ -130,3 +130,11 @@ def test_null_surname_and_a_rarer_unlisted_given_name(spark, nicks):
     rows += [(200 + i, f"{s}oxx Milling Dairy", None) for i, s in enumerate(["Abrik", "Bendor", "Cladun"])]
     got = {tuple(r) for r in linked_names(spark.createDataFrame(rows, "id long, n string, s string"), "id", "n", "s", nicks).collect()}
     assert {p for p in got if p[0] < 100} == set(itertools.combinations(range(1, 6), 2))
+
+
+def test_short_and_listed_words_identify_where_no_other_does(spark, nicks):
+    rows = [(1, "Li Wu", None), (2, "Li Wu", "Wu"), (3, "Wu, Li", None), (4, "Jo Ng", "Ng"), (5, "Jo Ng", "Ng"), (6, "Jo Wu", "Wu")]
+    rows += [(10, "Robert Margaret", "Margaret"), (11, "Robert Margaret", "Margaret"), (12, "Bob Margaret", None), (13, "Catherine Margaret", "Margaret")]
+    rows += [(20, "李伟", None), (21, "李伟", None), (22, "李 娜", None), (23, "娜 李", None), (24, "李娜娜", None), (30, "I.B.M.", None), (31, "I.B.M.", None), (32, "J.", None), (33, "J.", None)]
+    got = {tuple(r) for r in linked_names(spark.createDataFrame(rows, "id long, n string, s string"), "id", "n", "s", nicks).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (4, 5), (10, 11), (10, 12), (11, 12), (20, 21), (22, 23), (30, 31)}
