@@ -11,7 +11,9 @@
 4. Forms that leave out the place or the street type are linked to what most of their matches say, and to
    nothing when their matches disagree.
 
-Edge cases: an address without a house number or without a street links to nothing; null fields are missing
+Edge cases: an address without a house number or without a street links to nothing; a street named like a
+place stays a street where no other word is left; a padded number of five or six digits in the number field is
+a postcode where the address names none; null fields are missing
 parts; repeated addresses are linked to each other; an empty table gives an empty result.
 """
 
@@ -42,6 +44,7 @@ KNOWN = set(_TYPE) | set(_QUALIFIER)
 
 _POSTCODE = re.compile(r"\bp-?\s*(\d{3,6})\b|\b(\d{5,6})\b")
 _NUMBER = re.compile(r"(?:\b(?:no|nr)\b\.?\s*|#\s*)?\b0*(\d{1,4})\s*[-/]?\s*([a-z])?(?![a-z0-9])")
+_LONG = re.compile(r"\s*(?:(?:no|nr)\b\.?|#)?\s*(\d{5,})\s*[-/]?\s*([a-z])?\s*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,28 +62,42 @@ def read_address(street: str | None, number: str | None, postcode: str | None, p
     digits = re.sub(r"\D", "", postcode)
     if digits:
         code = digits.lstrip("0") or "0"
+    # a long number in its field is the house number, unless it is the postcode or looks like one that is missing
+    long = _LONG.fullmatch(number)
+    long_house = long[1].lstrip("0") + (long[2] or "") if long and long[1].strip("0") else ""
+    padded = bool(long) and long[1][0] == "0" and len(long[1]) <= 6
+    house = long_house if long_house and code and long[1].lstrip("0") != code else ""
+    given = code
     fields = []
-    for text in (number, street, place):
+    for text in ("" if house else number, street, place):
         m = _POSTCODE.search(text)
         if m and (code == "" or (m[1] or m[2]).lstrip("0") == code or text is place):
             code = code or (m[1] or m[2]).lstrip("0") or "0"
             text = text[: m.start()] + " " + text[m.end() :]
         fields.append(text)
-    house = ""
     for i, text in enumerate(fields):
         m = _NUMBER.search(text)
         if m:
             if not house:
                 house = m[1] + (m[2] or "")
             fields[i] = text[: m.start()] + " , " + text[m.end() :]
+    if not house and long_house and (given or not padded):
+        house, code = long_house, given
+        if not code:
+            m = _POSTCODE.search(street) or _POSTCODE.search(place)
+            code = (m[1] or m[2]).lstrip("0") or "0" if m else ""
     drop = {"no", "nr"}
     words = [[w for w in _WORD.findall(t) if w not in drop] for t in fields]
     return house, code, [w for w in words[0] + words[1]], words[2]
 
 
-def _parts(cells: list) -> tuple[list[str], str, str, list[str]]:
-    """(street words, street type, place, qualifiers) of the tokens of one address; ``cells`` have field, canon, ps, pp."""
+def _parts(cells: list, keep: frozenset[int] = frozenset()) -> tuple[list[str], str, str, list[str]]:
+    """(street words, street type, place, qualifiers) of the tokens of one address; ``cells`` have field, canon, ps, pp.
+
+    Words of the street field at the positions ``keep`` are street words wherever they mostly occur.
+    """
     street, kind, base, quals = [], "", "", []
+    held: list[tuple[int, bool]] = []  # words of the street field that mostly occur in places, and whether a type came before
     cells = sorted(cells, key=lambda c: (c["field"], c["pos"]))
     river = False
     for i, c in enumerate(cells):
@@ -96,9 +113,10 @@ def _parts(cells: list) -> tuple[list[str], str, str, list[str]]:
                 if _QUALIFIER[w] != "on":
                     quals.append(_QUALIFIER[w])
                 continue
-            if not placed:
+            if not placed or c["pos"] in keep:
                 street.append(w)
                 continue
+            held.append((c["pos"], bool(kind)))
         elif w in _QUALIFIER:
             river = bool(base)  # "on" or its rest, before the name of a river
             if not river:
@@ -107,6 +125,10 @@ def _parts(cells: list) -> tuple[list[str], str, str, list[str]]:
         if not base and not river and len(w) >= 3:
             base = w
         river = False
+    if held and not street:
+        # a street named like a place: what stands before the type is the street, else the first word
+        n = max(sum(not after for _, after in held), 1) if kind else 1
+        return _parts(cells, frozenset(p for p, _ in held[:n]))
     return street, kind, base, sorted(set(quals))
 
 

@@ -53,3 +53,14 @@ def test_reading():
     assert read_address("Stigvo, 46/C", None, "00513", None)[:2] == ("46c", "513")
     assert read_address("8 Voelbo Boulevard", None, "P-00749", "x")[:3] == ("8", "749", ["voelbo", "boulevard"])
     assert read_address("Road", "#0017", None, None)[0] == "17"
+
+
+def test_street_named_like_a_popular_place_and_long_house_numbers(spark):
+    rows = [(1, "Tolvane Road", "5", "00700", "Trosk"), (2, "Tolvane Rd", "5", "00700", "Trosk"), (3, "Tolvane Road 5, Trosk", None, "00700", None), (4, "Tolvane Road", "6", "00700", "Trosk")]
+    rows += [(10, "Castle Street", "12345", "00700", "Trosk"), (11, "Castle St", "No. 12345", "00700", "Trosk"), (12, "Castle Street", "12346", "00700", "Trosk"), (13, "Castle Street", "12345b", "00700", "Trosk")]
+    rows += [(14, "Castle Street", "98765", None, "Trosk"), (15, "Castle Street", "98765", None, "Trosk")]
+    rows += [(100 + i, f"{s} Road", str(50 + i), "00800", "Tolvane") for i, s in enumerate(("Abrikwund", "Bendorfeeld", "Cladunmont", "Dropelwund", "Ertolmfeeld", "Fasginmont"))]
+    got = {tuple(r) for r in linked_addresses(spark.createDataFrame(rows, COLS), "addr_id", "str_name", "street_number", "postcode", "place").collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (10, 11), (14, 15)}
+    assert read_address("Hallowmere Road 12", "00500", None, None)[:2] == ("12", "500")
+    assert read_address("Castle Street", "12345", "12345", None)[:2] == ("12345", "12345")
