@@ -2,16 +2,18 @@
 
 Two kinds of evidence, both from all documents:
 
-* *Discrete length hazards*: h(L) is the share of a source's texts of length L among those of length L or
-  more, in characters and in bytes.  Each h(L) is tested against the pooled hazard of the neighbouring
-  lengths (window functions); a Chernoff bound on the binomial tail gives a conservative p-value and the
-  Benjamini-Hochberg rule keeps the false-discovery rate per source.  What remains are field limits.
+* *Discrete length hazards*: h(L) is the share of a source's texts that stop without an end mark at length L
+  among those of length L or more, in characters and in bytes.  Each h(L) is tested against the pooled hazard
+  of the neighbouring lengths (window functions); a Chernoff bound on the binomial tail gives a conservative
+  p-value and the Benjamini-Hochberg rule keeps the false-discovery rate per source.
 * *Endings*: how often does the last pair of words (else the last word) close a sentence elsewhere in the
   corpus?  Words or pairs that occur inside texts but hardly ever close a sentence are unfinished, and a
   last word that occurs nowhere inside a text is a word cut in two.
 
-At a significant length, a text of a source that writes end marks is flagged when it has none; everywhere a
-text is flagged when its ending is unfinished (cuts during transfer fall on any length).
+At a significant length, a text is flagged when its ending is unfinished; where four stops of five are beyond
+expectation and the source writes end marks, also when it merely has none: reason ``field limit``.  Cuts during transfer fall on any length, where no hazard can
+show; there the unfinished ending alone decides: reason ``transfer``.  A full stop ends a sentence unless it
+belongs to an abbreviation, behind which sentences hardly ever end.
 
 Edge cases: null and blank texts are never flagged; trailing blanks and ellipses are not part of the
 ending; null sources form a group of their own; repeated texts are judged alike; an empty table gives an
@@ -23,15 +25,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlink.scratch import Scratch
+
 #: Marks that may close a sentence, and what may follow them within the sentence.
 _END = r"""[.!?][\"'»”“’)\]]*"""
+_LAST = tuple(""".!?"'»”“’)]""")
 _ENTITIES = {"&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&amp;": "&"}
 
 
 def _plain(text: Column) -> Column:
+    plain = text
     for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
 def _word(token: Column) -> Column:
@@ -41,17 +47,21 @@ def _word(token: Column) -> Column:
 
 
 def endings(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``__tail`` (the text without trailing blanks and ellipses), ``__prev``, ``__last`` and ``__marked``."""
-    tail = F.regexp_replace(_plain(F.col(text)), r"[\s…]+$", "")
-    words = F.split(F.regexp_extract(F.col("__tail"), r"(\S+\s+)?\S*$", 0), r"\s+")
-    return (
-        docs.withColumn("__tail", tail)
-        .withColumn("__w", words)
-        .withColumn("__last", _word(F.element_at("__w", -1)))
-        .withColumn("__prev", F.when(F.size("__w") > 1, _word(F.element_at("__w", 1))).otherwise(F.lit("")))
-        .withColumn("__marked", F.col("__tail").rlike(_END + "$"))
-        .drop("__w")
-    )
+    """``docs`` without the text, but with its length (``n_chars``, ``n_bytes``), a hash, and how it ends.
+
+    ``prev`` and ``last`` are its last two words, ``marked`` says that it ends in an end mark, ``dotted`` in a
+    full stop, ``closed`` in a numbered mark.  The text is turned round, so that no pattern walks through it.
+    """
+    # trailing blanks and ellipses aren't part of the ending
+    backwards = F.regexp_replace(F.reverse(_plain(F.col(text))), r"^[\s…]+", "")
+    found = docs.withColumn("__b", backwards).withColumn("__w", F.reverse(F.regexp_extract("__b", r"^\S*", 0)))
+    found = found.withColumn("__p", F.reverse(F.regexp_extract("__b", r"^\S*\s+(\S+)", 1)))
+    return found.select(
+        *(c for c in docs.columns if c != text),
+        F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("hash"),
+        _word(F.col("__p")).alias("prev"), _word(F.col("__w")).alias("last"), F.col("__w").rlike(_END + "$").alias("marked"), F.col("__w").endswith(".").alias("dotted"),
+        F.col("__w").rlike(r"\(\p{N}+\)[:;]?$").alias("closed"),
+    )
 
 
 def pair_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -68,7 +78,7 @@ def pair_counts(docs: DataFrame, text: str) -> DataFrame:
         ),
     )
     rows = tokens.select(F.explode(triple).alias("r")).select("r.p", "r.w", "r.x")
-    dotted = F.col("w").rlike(_END + "$")
+    dotted = F.right("w", F.lit(1)).isin(*_LAST) & F.col("w").rlike(_END + "$")
     closes = dotted & F.col("x").rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
     # raw tokens repeat far more often than texts: fold them first, so that the patterns run once per distinct pair
     raw = rows.groupBy("p", "w", closes.alias("c")).agg(F.count("*").alias("n"))
@@ -77,59 +87,70 @@ def pair_counts(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def field_limits(docs: DataFrame, text: str, source: str, neighbours: int = 12, fdr: float = 0.01) -> DataFrame:
-    """(source, unit, length, n, at_risk, hazard, expected, p_value): lengths at which texts stop far too often."""
-    lengths = docs.filter(F.col(text).isNotNull()).select(
-        F.col(source).alias("source"),
-        F.explode(F.array(F.struct(F.lit("char").alias("unit"), F.length(text).alias("length")), F.struct(F.lit("byte").alias("unit"), F.octet_length(text).alias("length")))).alias("l"),
-    )
-    n = lengths.groupBy("source", "l.unit", "l.length").agg(F.count("*").alias("n"))
+def field_limits(docs: DataFrame, text: str, source: str, neighbours: int = 12, fdr: float = 0.01, min_excess: float = 0.8) -> DataFrame:
+    """(source, unit, length, n, at_risk, hazard, expected, p_value): lengths at which texts stop far too often.
+
+    Only texts without an end mark stop, the others are at risk; copies of a text count once.  Besides being
+    significant, the stops at a limit must be cuts for the most part: at least ``min_excess`` of them beyond
+    the expected hazard.
+    """
+    judged = endings(docs.filter(F.length(F.trim(text)) > 0).select(F.col(source).alias("source"), F.col(text).alias("text")), "text")
+    return _significant(judged, neighbours, fdr).filter(1 - F.col("expected") / F.col("hazard") >= min_excess)
+
+
+def _significant(judged: DataFrame, neighbours: int = 12, fdr: float = 0.01) -> DataFrame:
+    """All significant lengths, from what :func:`endings` found."""
+    lengths = judged.select(
+        "source", "hash", "marked",
+        F.explode(F.array(F.struct(F.lit("char").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("byte").alias("unit"), F.col("n_bytes").alias("length")))).alias("l"),
+    )
+    n = lengths.select("source", "l.unit", "l.length", "hash", "marked").distinct().groupBy("source", "unit", "length").agg(F.count("*").alias("all"), F.sum(F.when(F.col("marked"), 0).otherwise(1)).alias("n"))
     by = Window.partitionBy("source", "unit")
     longer = by.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, 0)
     near = by.orderBy("length").rangeBetween(-neighbours, neighbours)
-    stats = n.withColumn("at_risk", F.sum("n").over(longer))
+    stats = n.withColumn("at_risk", F.sum("all").over(longer))
     # lengths without any text have the hazard 0 at the risk of the next longer one; risk changes little within the window
     own, risk = F.col("n"), F.col("at_risk")
     expected = (F.sum("n").over(near) - own + 0.5) / (F.lit(2 * neighbours) * F.avg("at_risk").over(near) + 1)
     stats = stats.withColumn("hazard", own / risk).withColumn("expected", F.least(expected, F.lit(0.999)))
     h, e = F.col("hazard"), F.col("expected")
-    divergence = h * F.log(h / e) + F.when(h < 1, (1 - h) * F.log((1 - h) / (1 - e))).otherwise(0.0)
+    divergence = F.when(h > 0, h * F.log(h / e)).otherwise(0.0) + F.when(h < 1, (1 - h) * F.log((1 - h) / (1 - e))).otherwise(0.0)
     stats = stats.withColumn("p_value", F.when(h > e, F.exp(-risk * divergence)).otherwise(1.0))
     tests = F.count("*").over(by)
     small = stats.withColumn("m", tests).filter(F.col("p_value") <= fdr).withColumn("k", F.row_number().over(by.orderBy("p_value", "length")))
     holds = F.max(F.when(F.col("p_value") <= F.col("k") * fdr / F.col("m"), F.col("k"))).over(by)
-    # a limit is a stop of several texts, and a good part of the texts that get there stop
-    return small.withColumn("last", holds).filter("k <= last and n >= 3 and hazard > 5 * expected and hazard >= 0.25").select("source", "unit", "length", "n", "at_risk", "hazard", "expected", "p_value")
+    return small.withColumn("last", holds).filter("k <= last").select("source", "unit", "length", "n", "at_risk", "hazard", "expected", "p_value")
 
 
-def truncated(docs: DataFrame, key: str, text: str, source: str, closing_rate: float = 0.1, min_count: int = 3) -> DataFrame:
+def truncated(docs: DataFrame, key: str, text: str, source: str, closing_rate: float = 0.1, min_count: int = 3, min_excess: float = 0.8) -> DataFrame:
     """(key, source, reason) of the texts that stop before their end."""
+    scratch = Scratch(docs.sparkSession, "truncation")
     src = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(text).alias("text"))
-    judged = endings(src.filter(F.length(F.trim("text")) > 0), "text")
-    pairs = pair_counts(src.filter("text is not null"), "text")
-    tails = judged.select(F.col("__prev").alias("prev"), F.col("__last").alias("word")).distinct()
+    judged = scratch.save(endings(src.filter(F.length(F.trim("text")) > 0), "text"))
+    pairs = scratch.save(pair_counts(src.filter("text is not null"), "text"))
+    tails = judged.select("prev", F.col("last").alias("word")).distinct()
     words = pairs.groupBy("word").agg(F.sum("n").alias("wn"), F.sum("ends").alias("wends"), F.sum("dots").alias("wdots"))
     known = tails.join(pairs, ["prev", "word"], "left").join(words, "word", "left")
     pair_rate = F.when(F.col("n") >= min_count, F.col("ends") / F.col("n"))
     word_rate = F.when(F.col("wn") >= min_count, F.col("wends") / F.col("wn"))
-    known = known.select(
-        "prev", "word",
-        (F.coalesce(pair_rate, word_rate, F.lit(0.0)) < closing_rate).alias("open"),
-        # a full stop that belongs to the word, as in an abbreviation
-        ((F.coalesce("wdots", F.lit(0)) >= min_count) & (F.coalesce(word_rate, F.lit(1.0)) < 0.02)).alias("abbreviates"),
-    )
-    limits = field_limits(src, "text", "source")
-    at = limits.select(F.col("source").alias("s"), "unit", "length").groupBy("s").agg(F.collect_set(F.struct("unit", "length")).alias("limits"))
-    marks = judged.groupBy("source").agg(F.avg(F.col("__marked").cast("double")).alias("mark_rate"))
-    d = judged.join(known, (F.col("__prev") == F.col("prev")) & (F.col("__last") == F.col("word")))
-    d = d.join(marks.select(F.col("source").alias("s2"), "mark_rate"), F.col("source").eqNullSafe(F.col("s2"))).join(at, F.col("source").eqNullSafe(F.col("s")), "left")
-    hit = F.lit(False)
-    for unit, size in (("char", F.length("text")), ("byte", F.octet_length("text"))):
-        hit = hit | F.coalesce(F.array_contains("limits", F.struct(F.lit(unit).alias("unit"), size.alias("length"))), F.lit(False))
-    closed = F.col("__tail").rlike(r"\(\p{N}+\)[:;]?$")
-    unfinished = ~closed & F.when(F.col("__marked"), F.col("__tail").endswith(".") & F.col("abbreviates")).otherwise(F.col("open"))
-    at_limit = hit & ~F.col("__marked") & ~closed & (F.col("mark_rate") >= 0.5)
-    reason = F.when(hit & (unfinished | at_limit), "field limit").when(unfinished, "transfer")
+    # how often a sentence ends where a full stop follows the word: hardly ever, if the stop belongs to an abbreviation
+    stop_rate = F.coalesce(F.when(F.col("dots") >= min_count, F.col("ends") / F.col("dots")), F.when(F.col("wdots") >= min_count, F.col("wends") / F.col("wdots")), F.lit(1.0))
+    known = known.select(F.col("prev").alias("p"), F.col("word").alias("w"), (F.coalesce(pair_rate, word_rate, F.lit(0.0)) < closing_rate).alias("open"), (stop_rate < closing_rate).alias("abbreviates"))
+    mostly = (1 - F.col("expected") / F.col("hazard") >= min_excess).alias("mostly")
+    at = _significant(judged).select(F.col("source").alias("s"), F.struct("unit", "length", mostly).alias("l")).groupBy("s").agg(F.collect_set("l").alias("limits"))
+    marks = judged.groupBy(F.col("source").alias("s2")).agg(F.avg(F.col("marked").cast("double")).alias("mark_rate"))
+    d = judged.join(known, (F.col("prev") == F.col("p")) & (F.col("last") == F.col("w")))
+    d = d.join(marks, F.col("source").eqNullSafe(F.col("s2"))).join(at, F.col("source").eqNullSafe(F.col("s")), "left")
+
+    def among(least: bool, less: int = 0) -> Column:
+        """Is the length a significant one, and do mostly cuts stop there?"""
+        size = lambda x: F.when(x["unit"] == "char", F.col("n_chars")).otherwise(F.col("n_bytes")) + less
+        return F.coalesce(F.exists("limits", lambda x: (x["length"] == size(x)) & (x["mostly"] | F.lit(not least))), F.lit(False))
+
+    unfinished = ~F.col("closed") & F.when(F.col("marked"), F.col("dotted") & F.col("abbreviates")).otherwise(F.col("open"))
+    at_limit = among(True) & ~F.col("marked") & ~F.col("closed") & (F.col("mark_rate") >= 0.5)
+    # a blank at the limit may have been trimmed
+    reason = F.when(at_limit | ((among(False) | among(False, 1)) & unfinished), "field limit").when(unfinished, "transfer")
     return d.select(F.col("k").alias(key), F.col("source").alias(source), reason.alias("reason")).filter("reason is not null")
 
 

@@ -57,3 +57,20 @@ def test_odd_rows(spark):
     assert truncated(spark.createDataFrame(odd, schema), "doc_id", "text", "source").filter("doc_id in (1, 2, 3, 4, 8)").count() == 0
     empty = spark.createDataFrame([], schema)
     assert truncated(empty, "doc_id", "text", "source").count() == 0 and field_limits(empty, "text", "source").count() == 0 and truncation_rates(empty, "doc_id", "text", "source").count() == 0
+
+
+def test_abbreviations_and_particles(spark):
+    """A full stop behind an abbreviation ends no sentence; behind a word that is rarely last, it does."""
+    body = "He paid approx. 20 crowns in the shop. They went in spite of it all. She came in. "
+    texts = [body * 3 + "It ended well." for _ in range(1)] + ["He paid approx.", "She came in.", "They waited outside in."]
+    rows = [(i, "s", t) for i, t in enumerate(texts)] + [(100 + i, "s", body + f"Number {i} came in. All was well.") for i in range(300)]
+    got = {r["doc_id"] for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string"), "doc_id", "text", "source").collect()}
+    assert got == {1}
+
+
+def test_copies_make_no_limit(spark):
+    """One title delivered many times is one stop, not a field limit."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "s", " ".join(sentence(rng) for _ in range(rng.integers(1, 4)))) for i in range(600)]
+    rows += [(1000 + i, "s", "The small ferry along the coast road") for i in range(200)]
+    assert field_limits(spark.createDataFrame(rows, "doc_id long, source string, text string"), "text", "source").count() == 0
