@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlink.llm.forms import expand
 from pairlink.llm.spelling import near_tokens, spellings
 from pairlink.scratch import Scratch
 
@@ -215,25 +216,31 @@ def _verdict(r: Readings, wa: list[str], ia: list[str], wb: list[str], ib: list[
     return 1 if any(len(ua[i][0]) == 1 or len(ub[j][0]) == 1 for i, j in pairs) else 0
 
 
+def few(rows: DataFrame, most: int, what: str) -> list:
+    """The rows, for the driver's model; more than ``most`` are refused, never cut."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} {what}")
+    return got
+
+
 def nickname_pairs(nicknames: DataFrame | None, given: str, nickname: str, most: int = 100_000) -> list[tuple[str, str]]:
     """The list of nicknames in lower case; a list of more than ``most`` rows is refused."""
     if nicknames is None:
         return []
-    rows = nicknames.select(given, nickname).dropna().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} nicknames")
-    return [(a.lower(), b.lower()) for a, b in rows]
+    return [(a.lower(), b.lower()) for a, b in few(nicknames.select(given, nickname).dropna(), most, "nicknames")]
 
 
-def linked_names(
+def name_forms(
     entries: DataFrame, key: str, name: str, surname: str, nicknames: DataFrame | None = None, given: str = "given_name", nickname: str = "nickname", common_share: float = 0.001
-) -> DataFrame:
-    """(``<key>_1``, ``<key>_2``), smaller key first: entries that name the same person or organisation."""
+) -> tuple[DataFrame, DataFrame]:
+    """((key, form), (form_1, form_2)): the form of every entry that holds a name, and the forms that name the same one."""
     spark = entries.sparkSession
     scratch = Scratch(spark, "names")
     src = entries.select(F.col(key).alias("e"), F.col(name).alias("name"), F.col(surname).alias("sur"))
     nicks = nickname_pairs(nicknames, given, nickname)
     lexicon = {x for pair in nicks for x in pair}
+    listed = lexicon | TITLES | LEGAL
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -241,23 +248,23 @@ def linked_names(
             for e, n, s in zip(pdf["e"], pdf["name"], pdf["sur"]):
                 words, initials = split_name(n)
                 sw, si = split_name(s)
-                rows.append((e, words, initials, "".join(sw) if not si else ""))
-            yield pd.DataFrame(rows, columns=["e", "words", "initials", "sur"])
+                # a word split in two may be one elsewhere; listed words are no halves of another one
+                whole = [a + b if a not in listed and b not in listed else "" for a, b in zip(words, words[1:])]
+                rows.append((e, words, whole, initials, "".join(sw) if not si else ""))
+            yield pd.DataFrame(rows, columns=["e", "words", "whole", "initials", "sur"])
 
     e_type = src.schema["e"].dataType.simpleString()
-    parsed = src.mapInPandas(parse, f"e {e_type}, words array<string>, initials array<string>, sur string")
+    parsed = src.mapInPandas(parse, f"e {e_type}, words array<string>, whole array<string>, initials array<string>, sur string")
     form = F.concat_ws("|", F.concat_ws(" ", "words"), F.concat_ws(" ", "initials"), "sur")
     parsed = scratch.save(parsed.filter("size(words) > 0 or size(initials) > 1").withColumn("form", form))
-    forms = scratch.save(parsed.groupBy("form").agg(F.first("words").alias("words"), F.first("initials").alias("initials"), F.first("sur").alias("sur"), F.count("*").alias("n")))
+    forms = scratch.save(parsed.groupBy("form").agg(F.first("words").alias("words"), F.first("whole").alias("whole"), F.first("initials").alias("initials"), F.first("sur").alias("sur"), F.count("*").alias("n")))
 
     # spellings of all tokens, of surname fields, and of neighbouring words joined
-    joined = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat(F.get("words", i - 1), F.get("words", i)))
-    joined = F.when(F.size("words") > 1, joined).otherwise(F.array().cast("array<string>"))
     cells = forms.select(
         "form", "n",
         F.explode(F.concat(
             F.transform("words", lambda w, i: F.struct(F.lit("w").alias("kind"), i.alias("pos"), w.alias("tok"))),
-            F.transform(joined, lambda w, i: F.struct(F.lit("j").alias("kind"), i.alias("pos"), w.alias("tok"))),
+            F.filter(F.transform("whole", lambda w, i: F.struct(F.lit("j").alias("kind"), i.alias("pos"), w.alias("tok"))), lambda x: x["tok"] != ""),
             F.when(F.col("sur") != "", F.array(F.struct(F.lit("s").alias("kind"), F.lit(0).alias("pos"), F.col("sur").alias("tok")))).otherwise(F.array().cast("array<struct<kind:string,pos:int,tok:string>>")),
         )).alias("c"),
     ).select("form", "n", "c.*")
@@ -273,7 +280,7 @@ def linked_names(
 
     total = forms.agg(F.sum("n")).first()[0] or 0
     floor = max(5, int(common_share * total))
-    common = {r["canon"]: r["cdf"] for r in spelt.filter(F.col("cdf") >= floor).select("canon", "cdf").distinct().limit(20_000).collect()}
+    common = {r["canon"]: r["cdf"] for r in few(spelt.filter(F.col("cdf") >= floor).select("canon", "cdf").distinct(), 200_000, "common words")}
 
     plain_model = spark.sparkContext.broadcast(Readings(common, nicks, {}))
 
@@ -335,7 +342,7 @@ def linked_names(
         left = seen.join(often.hint("merge"), "w").filter(~F.col("w").isin(sorted(lexicon | TITLES | LEGAL)))
         both = left.join(seen.select("id", F.col("w").alias("full")).join(fulls, "full").hint("merge"), "id").groupBy("w", "k", "full").agg(F.count("*").alias("kk"))
         best = both.filter("kk >= 3 and kk >= 0.3 * k").groupBy("w").agg(F.max(F.struct("kk", "full")).alias("b"))
-        learned = {r["w"]: r["full"] for r in best.select("w", "b.full").collect()}
+        learned = {r["w"]: r["full"] for r in few(best.select("w", "b.full"), 200_000, "learned nicknames")}
     model = spark.sparkContext.broadcast(Readings(common, nicks, learned))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -402,7 +409,12 @@ def linked_names(
     bare = bare.filter("ga = gb or (oa is null and ob is null)").select("fa", "fb")
     linked = strong.union(fits).union(bare).distinct()
 
-    entry = parsed.select("e", "form")
-    across = linked.join(entry.select(F.col("form").alias("fa"), F.col("e").alias("x")).hint("merge"), "fa").join(entry.select(F.col("form").alias("fb"), F.col("e").alias("y")).hint("merge"), "fb").select("x", "y")
-    same = entry.select("form", F.col("e").alias("x")).join(entry.select("form", F.col("e").alias("y")).hint("merge"), "form").filter("x < y").select("x", "y")
-    return across.union(same).select(F.least("x", "y").alias(f"{key}_1"), F.greatest("x", "y").alias(f"{key}_2")).filter(F.col(f"{key}_1") != F.col(f"{key}_2")).distinct()
+    return parsed.select(F.col("e").alias(key), "form").distinct(), linked.select(F.col("fa").alias("form_1"), F.col("fb").alias("form_2"))
+
+
+def linked_names(entries: DataFrame, key: str, name: str, surname: str, nicknames: DataFrame | None = None, **settings) -> DataFrame:
+    """(``<key>_1``, ``<key>_2``), smaller key first: entries that name the same person or organisation.
+
+    ``settings`` are those of :func:`name_forms`, whose result is linear in the entries.
+    """
+    return expand(*name_forms(entries, key, name, surname, nicknames, **settings), key)

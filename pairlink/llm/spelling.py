@@ -19,15 +19,25 @@ def deletes(token: Column, twice: Column) -> Column:
 def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9, max_len: int = 48) -> DataFrame:
     """(tok, df, other, odf, edits): distinct tokens within one edit, long ones within two, by the symmetric-delete index.
 
-    A token of n characters has n (n + 1) / 2 entries; tokens over ``max_len`` characters are no words and stand for themselves.
+    A token of n characters has n (n + 1) / 2 entries; tokens over ``max_len`` characters are no words and stand for
+    themselves.  Tokens with a ``df`` of 0 (tried, but never seen) only meet those that were seen, so of them only
+    the lengths that can be near one are indexed.  Entries are shuffled once; the tokens of a hash are few, since
+    they are one or two insertions away from one string.
     """
     spread = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of tokens become many entries: keep all tasks busy
-    indexed = tokens.filter(F.length("tok").between(min_len, max_len)).repartition(spread, "tok").withColumn("v", F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)))
-    other = indexed.select("v", F.col("tok").alias("other"), F.col("df").alias("odf"))
-    pairs = indexed.join(other.hint("merge"), "v").filter("tok <> other and abs(length(tok) - length(other)) <= 2").select("tok", "df", "other", "odf").distinct()
-    d = F.levenshtein("tok", "other", 2)
-    swap = (F.length("tok") == F.length("other")) & (F.array_sort(F.split("tok", "")) == F.array_sort(F.split("other", "")))
-    return pairs.withColumn("d", d).filter("d >= 1").withColumn("edits", F.when((F.col("d") == 2) & swap, 1).otherwise(F.col("d"))).drop("d")
+    words = tokens.filter(F.length("tok").between(min_len, max_len))
+    lengths = [r[0] for r in words.filter("df > 0").select(F.length("tok")).distinct().collect()]  # at most max_len
+    able = sorted({n + k for n in lengths for k in range(-2, 3)})
+    words = words.filter((F.col("df") > 0) | F.length("tok").isin(able)).repartition(spread, "tok")
+    entries = words.select(F.struct("tok", "df").alias("t"), F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)).alias("v"))
+    shared = entries.groupBy("v").agg(F.collect_list("t").alias("ts")).filter(F.size("ts") > 1).select("ts", F.explode("ts").alias("a")).select("a", F.explode("ts").alias("b"))
+    pairs = shared.filter("a.tok < b.tok and abs(length(a.tok) - length(b.tok)) <= 2 and (a.df > 0 or b.df > 0)").distinct()
+    a, b = F.col("a.tok"), F.col("b.tok")
+    d = F.levenshtein(a, b, 2)
+    swap = (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    pairs = pairs.withColumn("d", d).filter("d >= 1").withColumn("edits", F.when((F.col("d") == 2) & swap, 1).otherwise(F.col("d")))
+    side = lambda x, y: F.struct(F.col(f"{x}.tok").alias("tok"), F.col(f"{x}.df").alias("df"), F.col(f"{y}.tok").alias("other"), F.col(f"{y}.df").alias("odf"), "edits")
+    return pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("n")).select("n.*")
 
 
 def spellings(tokens: DataFrame, fixed: set[str], scratch: Scratch, near: DataFrame | None = None) -> DataFrame:
