@@ -18,6 +18,7 @@ at all the mix is empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,57 @@ from pairlink.llm.tokens import DEFAULT_TOKENIZER, with_token_counts
 from pairlink.scratch import Scratch
 
 
+#: From here on the generator's own hypergeometric draws are refused.
+_LARGE = 1_000_000_000
+
+
+def _factorial_ratio(m: int, d: int) -> float:
+    """ln((m + d)! / m!) - d ln(m + 1), without the cancellation of two large logarithms."""
+    if m < 1000 or m + d < 1000:
+        return math.lgamma(m + d + 1) - math.lgamma(m + 1) - d * math.log(m + 1)
+    rest = lambda k: 1 / (12 * k) - 1 / (360 * k**3)
+    return (m + d + 0.5) * math.log1p(d / m) - d + d * (math.log(m) - math.log(m + 1)) + rest(m + d) - rest(m)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are among the ``good``, for populations of any size.
+
+    Large populations are drawn by the ratio of uniforms (table mountain rejection), in about two tries.
+    """
+    if good + bad < _LARGE:
+        return int(rng.hypergeometric(good, bad, n)) if n else 0
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    total = good + bad
+    mean = n * (good / total)
+    spread = math.sqrt((total - n) / (total - 1) * mean * (bad / total) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    cells = ((mode, 1), (good - mode, -1), (n - mode, -1), (bad - n + mode, 1))
+    slope = sum(sign * math.log(m + 1) for m, sign in cells)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high:
+            d = k - mode
+            if 2 * math.log(u) <= -d * slope - sum(_factorial_ratio(m, sign * d) for m, sign in cells):
+                return k
+
+
+def _split(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """A multivariate hypergeometric draw of ``n`` by its marginals."""
+    total = int(counts.sum())
+    if total < _LARGE:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out = np.zeros(len(counts), dtype=np.int64)
+    for i, c in enumerate(map(int, counts)):
+        total -= c
+        out[i] = hypergeometric(rng, c, total, n)
+        n -= int(out[i])
+    return out
+
+
 def shard_runs(counts: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, count) per source of the draws that ``shard`` gets: the path from the root to its leaf."""
     counts, start = np.asarray(counts, dtype=np.int64), np.zeros(len(counts), dtype=np.int64)
@@ -36,8 +88,7 @@ def shard_runs(counts: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
     while hi - lo > 1:
         mid = (lo + hi) // 2
         rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        share = int(counts.sum()) * (mid - lo) // (hi - lo)
-        left = rng.multivariate_hypergeometric(counts, share, method="marginals")
+        left = _split(rng, counts, int(counts.sum()) * (mid - lo) // (hi - lo))
         if shard < mid:
             counts, hi = left, mid
         else:

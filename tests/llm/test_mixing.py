@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlink.llm.mixing import Mix, shard_runs
+from pairlink.llm import mixing
+from pairlink.llm.mixing import Mix, hypergeometric, shard_runs
 
 
 def test_runs_split_the_draws():
@@ -26,6 +27,33 @@ def test_runs_are_hypergeometric():
     assert first.var() == pytest.approx(100 * 0.6 * 0.4 * 900 / 999, rel=0.35)
 
 
+@pytest.mark.parametrize("counts", [[3_000_000_000, 5, 0, 1_234_567_890], [10**12, 7 * 10**11, 1, 3 * 10**9]])
+def test_runs_of_large_mixes(counts):
+    """Populations beyond what the generator draws itself: shards are disjoint, complete, even and drawn at random."""
+    runs = [shard_runs(np.array(counts), 13, s, seed=3) for s in range(13)]
+    for k, c in enumerate(counts):
+        at = 0
+        for start, n in sorted((int(start[k]), int(n[k])) for start, n in runs if n[k]):
+            assert start == at
+            at += n
+        assert at == c
+    sizes = [int(n.sum()) for _, n in runs]
+    assert sum(sizes) == sum(counts) and max(sizes) - min(sizes) <= 4
+    p, total = counts[0] / sum(counts), sum(counts)
+    spread = (total / 13 * p * (1 - p) * 12 / 13) ** 0.5
+    assert all(abs(int(n[0]) - total / 13 * p) < 6 * spread for _, n in runs)
+
+
+def test_large_draws_follow_the_distribution(monkeypatch):
+    """The rejection draws against the generator's own on small populations."""
+    monkeypatch.setattr(mixing, "_LARGE", 0)
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((50, 30, 20), (3, 100, 50), (5000, 10, 4000), (10, 3, 9), (0, 5, 3), (5, 0, 3)):
+        mine = np.bincount([hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1) / 20_000
+        theirs = np.bincount(rng.hypergeometric(good, bad, n, size=200_000), minlength=n + 1) / 200_000
+        assert np.abs(mine - theirs).max() < 0.02
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     # a source with a third of all texts, small ones, one without target, null and empty texts
