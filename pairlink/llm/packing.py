@@ -7,8 +7,8 @@ permitted length with the least cost per token it can be expected to carry is op
 that are still to come; at the end each container shrinks to the smallest permitted length that holds its
 contents.  A shard leaves a few part-filled containers at most, so the loss falls with the shard size.
 
-Edge cases: null and empty texts have no token and get no container; ties are packed in key order, so the
-result is deterministic; repeated keys are separate items, and a key that fills more
+Edge cases: null and empty texts have no token and get no container; ties are packed in the order of key and
+size, so the result is deterministic; repeated keys are separate items, and a key that fills more
 than a shard by itself is dealt out over all of them; other columns are pruned.
 """
 
@@ -102,7 +102,7 @@ def pack_sizes(sizes: DataFrame, key: str, size: str, capacity: int, lengths: Se
     )
 
     def fill(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable")
+        pdf = pdf.sort_values(["k", "n"], kind="stable")
         keys, n = pdf["k"].to_numpy(), pdf["n"].to_numpy()
         whole, rest = n // capacity, n % capacity
         small = np.flatnonzero(rest)
@@ -118,10 +118,15 @@ def pack_sizes(sizes: DataFrame, key: str, size: str, capacity: int, lengths: Se
         out["first_token"] = out["piece_no"] * capacity
         return out[[f.name for f in schema.fields]]
 
-    # a key of more rows than a shard should hold is dealt out over all shards
-    heavy = items.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > shard_items).select(F.col("k").alias("hk"), F.lit(True).alias("hot"))
-    at = F.pmod(F.xxhash64("k"), F.lit(shards)) + F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(shards))).otherwise(0)
-    sharded = items.join(heavy, F.col("k").eqNullSafe(F.col("hk")), "left").withColumn("s", F.pmod(at, F.lit(shards)).cast("int")).select("k", "n", "s")
+    # a key of more rows than a shard should hold is dealt out over all shards, by how often each size occurs
+    heavy = items.groupBy(F.col("k").alias("hk")).agg(F.count("*").alias("c")).filter(F.col("c") > shard_items)
+    same = F.col("k").eqNullSafe(F.col("hk"))
+    light = items.join(heavy, same, "left_anti").select("k", "n", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("s"))
+    dealt = items.join(heavy, same, "left_semi").groupBy("k", "n").agg(F.count("*").alias("c"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.least(F.col("c"), F.lit(shards)) - 1)))
+    times = F.expr(f"c div {shards}") + F.when(F.col("o") < F.col("c") % shards, 1).otherwise(0)
+    dealt = dealt.select("k", "n", F.pmod(F.xxhash64("k", "n") + F.col("o"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(1), times))).drop("col")
+    sharded = light.union(dealt)
     return sharded.groupBy("s").applyInPandas(fill, schema).withColumnRenamed("k", key)
 
 

@@ -60,3 +60,13 @@ def test_popular_key_is_spread(spark):
     assert packed.count() == 3000 and packed.agg(F.sum("n_tokens")).first()[0] == df.agg(F.sum("n")).first()[0]
     sizes = [r["count"] for r in packed.groupBy("shard").count().collect()]
     assert max(sizes) < 400
+    again = pack_sizes(df.repartition(5, "n"), "id", "n", 64, shard_items=100)
+    assert packed.exceptAll(again).isEmpty() and again.exceptAll(packed).isEmpty()
+
+
+def test_fill_of_documents(spark):
+    """Used / capacity over the texts of a test table, in one shard and in several."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for shard_items, least in ((20_000, 0.995), (200, 0.95)):
+        c = containers(pack(docs, "doc_id", "text", 2048, shard_items=shard_items)).agg(F.sum("used").alias("u"), F.sum("capacity").alias("c")).first()
+        assert c["u"] / c["c"] > least
