@@ -37,13 +37,24 @@ class Compare:
     def date(self, *args, **kwargs) -> Compare:
         return self.add(ft.Date(*args, **kwargs))
 
-    def compare_vectorized(self, function: Callable, labels_left, labels_right, *args, label=None, **kwargs) -> Compare:
-        return self.add(ft.Vectorised(function, labels_left, labels_right, *args, label=label, **kwargs))
+    def compare_vectorized(self, function: Callable, labels_left, labels_right, *args, label=None, returns=None, **kwargs) -> Compare:
+        """A feature by a function of Columns or of pandas Series; see :class:`~pairlink.operators.features.Vectorised`."""
+        return self.add(ft.Vectorised(function, labels_left, labels_right, *args, label=label, returns=returns, **kwargs))
 
     def needed(self) -> tuple[list[str], list[str]]:
         """The columns of either side that the features read."""
         return list(dict.fromkeys(c for f in self.features for c in f.left_on)), list(dict.fromkeys(c for f in self.features for c in f.right_on))
 
+    def enriched(self, side: DataFrame, prefix: str) -> DataFrame:
+        """``side`` (columns <prefix>0 ... as :meth:`needed`) with what features compute once per record, as <prefix>f<feature>_<column>."""
+        names = self.needed()[prefix == "r"]
+        made = {}
+        for n, f in enumerate(self.features):
+            once = f.per_record()
+            if once:
+                made |= {f"{prefix}f{n}_{i}": once(F.col(f"{prefix}{names.index(c)}")) for i, c in enumerate(f.left_on if prefix == "l" else f.right_on)}
+        return side.withColumns(made) if made else side
+
     def compute(self, pairs: DataFrame, x, x_link=None) -> DataFrame:
         """``pairs`` with a column per feature; every row of ``pairs`` is kept, repeated ones too."""
         if not isinstance(pairs, DataFrame):
@@ -53,7 +64,7 @@ class Compare:
         one, two = pair_columns(pairs)
         left, right = self.needed()
         joined = pairs.select(F.col(one).alias("__1"), F.col(two).alias("__2"))
-        joined = joined.join(a.columns(left, "l").drop("lord"), F.col("__1") == F.col("lid")).join(b.columns(right, "r").drop("rord"), F.col("__2") == F.col("rid"))
+        joined = joined.join(self.enriched(a.columns(left, "l").drop("lord"), "l"), F.col("__1") == F.col("lid")).join(self.enriched(b.columns(right, "r").drop("rord"), "r"), F.col("__2") == F.col("rid"))
         return self.project(joined, a, b, F.col("__1").alias(one), F.col("__2").alias(two))
 
     def project(self, joined: DataFrame, a: RecordSet, b: RecordSet, *keep) -> DataFrame:
@@ -66,6 +77,8 @@ class Compare:
             f.own = f"__f{n}"
             l, r = [F.col(f"l{left.index(c)}") for c in f.left_on], [F.col(f"r{right.index(c)}") for c in f.right_on]
             joined = f.prepare(joined, l, r)
+            for side, p in ((l, "l"), (r, "r")):
+                side += [F.col(c) for c in (f"{p}f{n}_{i}" for i in range(len(side))) if c in joined.columns]
             made = f.columns(l, r)
             labels = f.labels or [str(len(names) + i) for i in range(len(made))]
             if len(labels) != len(made):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +42,13 @@ class Feature:
     def check(self, left: list[T.StructField], right: list[T.StructField]) -> None:
         """Raise if the columns' types don't fit."""
 
+    def per_record(self) -> Callable[[Column], Column] | None:
+        """What to compute once per record from each of the feature's columns, before records meet in pairs.
+
+        ``columns`` then gets the results behind the columns themselves.
+        """
+        return None
+
     def prepare(self, joined: DataFrame, left: list[Column], right: list[Column]) -> DataFrame:
         return joined
 
@@ -90,9 +100,13 @@ class String(Feature):
             if not isinstance(f.dataType, (T.StringType, T.NullType)):
                 raise TypeError(f"{f.name} is not a string column")
 
+    def per_record(self):
+        return (lambda c: text.bag(c.cast("string"))) if text.takes_bags(self.method) else None
+
     def columns(self, left, right):
-        (l,), (r,) = left, right
-        value = text.similarity(l.cast("string"), r.cast("string"), self.method, self.threshold)
+        (l, *bag_l), (r, *bag_r) = left, right
+        bags = (bag_l[0], bag_r[0]) if bag_l and bag_r else None
+        value = text.similarity(l.cast("string"), r.cast("string"), self.method, self.threshold, bags)
         known = value.isNotNull()
         if self.threshold is not None:
             value = F.when(value >= self.threshold, 1.0).otherwise(0.0)
@@ -131,13 +145,18 @@ class Geographic(Numeric):
 
 
 class Date(Feature):
-    """1 for equal dates, less for swapped day and month or often confused months."""
+    """1 for equal dates, less for swapped day and month or often confused months.
+
+    Of the rules that fit, the last one counts, months after the swap; a rule that gives 1 is final.  A swap
+    value of None or 0 leaves the rule out, NaN gives a null.
+    """
 
+    #: Fixed values: (month, other month, similarity) where nothing else is given.
     SWAPPED_MONTHS = [(6, 7, 0.5), (7, 6, 0.5), (9, 10, 0.5), (10, 9, 0.5)]
 
     def __init__(self, left_on, right_on, swap_month_day: float | None = 0.5, swap_months="default", errors: str = "coerce", missing_value: Any = 0.0, label=None):
         super().__init__(left_on, right_on, label)
-        if swap_months == "default":
+        if isinstance(swap_months, str) and swap_months == "default":
             swap_months = self.SWAPPED_MONTHS
         if not all(isinstance(x, (list, tuple)) and len(x) == 3 for x in swap_months or []):
             raise ValueError("swap_months is a list of (month, other month, value)")
@@ -150,14 +169,17 @@ class Date(Feature):
 
     def columns(self, left, right):
         (l,), (r,) = left, right
-        y, m, d = (lambda c: F.year(c)), (lambda c: F.month(c)), (lambda c: F.dayofmonth(c))
-        swapped = (y(l) == y(r)) & (m(l) == d(r)) & (d(l) == m(r))
+        y, m, d = F.year, F.month, F.dayofmonth
+        same_year = y(l) == y(r)
+        rules = [(same_year & (m(l) == d(r)) & (d(l) == m(r)), self.swap)] if self.swap else []
+        rules += [(same_year & (d(l) == d(r)) & (m(l) == one) & (m(r) == other), v) for one, other, v in self.months]
         value = F.when(l == r, F.lit(1.0))
-        # a later rule goes before an earlier one
-        for one, other, v in reversed(self.months):
-            value = value.when((y(l) == y(r)) & (d(l) == d(r)) & (m(l) == one) & (m(r) == other), F.lit(_number(v)))
-        value = value.when(swapped, F.lit(_number(self.swap)).cast("double")).otherwise(F.lit(0.0))
-        return [mixed(l.isNotNull() & r.isNotNull(), value, self.missing)]
+        for fits, v in rules:
+            if v == 1:
+                value = value.when(fits, F.lit(1.0))
+        for fits, v in reversed(rules):
+            value = value.when(fits, F.lit(_number(v)).cast("double"))
+        return [mixed(l.isNotNull() & r.isNotNull(), value.otherwise(F.lit(0.0)), self.missing)]
 
 
 class Variable(Feature):
@@ -238,17 +260,81 @@ class RandomDiscrete(Feature):
         return [F.get(F.array(*map(F.lit, self.values)), at).cast(self.dtype)]
 
 
+def _probe(field: T.StructField) -> pd.Series:
+    """Two values of the field's type, as a function of Series would meet them."""
+    t = field.dataType
+    if isinstance(t, T.BooleanType):
+        return pd.Series([True, False])
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return pd.Series([1.0, 2.0])
+    if isinstance(t, T.NumericType):
+        return pd.Series([1, 2])
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return pd.Series(pd.to_datetime(["2001-02-03", "2001-02-04"]))
+    if isinstance(t, T.DateType):
+        return pd.Series([datetime.date(2001, 2, 3), datetime.date(2001, 2, 4)])
+    return pd.Series(["a", "b"])
+
+
+def _outputs(result: Any, n: int) -> list[pd.Series]:
+    """The columns of what a function of Series returns: one Series or array, several of them, or a DataFrame."""
+    if isinstance(result, pd.DataFrame):
+        result = [result[c] for c in result.columns]
+    elif not isinstance(result, (tuple, list)) or len(result) == n and not any(hasattr(x, "__len__") and not isinstance(x, str) for x in result):
+        result = [result]
+    out = [pd.Series(np.asarray(x)) if not isinstance(x, pd.Series) else x.reset_index(drop=True) for x in result]
+    if any(len(x) != n for x in out):
+        raise ValueError("a comparison function returns one value per pair")
+    return out
+
+
 class Vectorised(Feature):
-    """A user's function of columns: it returns one Column or several."""
+    """A user's function of Columns, or of pandas Series.
+
+    A function of Columns returns one Column or several and runs in the JVM.  Any other function is called with
+    Series of the pairs' values (left columns, right columns, then the further arguments) in Arrow batches and
+    returns a Series, an array, several of them, or a DataFrame.  Their types are those it returns for two
+    made-up pairs; ``returns`` (one type or a list) names them where that doesn't work.
+    """
 
-    def __init__(self, function: Callable[..., Column | Sequence[Column]], left_on, right_on, *args: Any, label=None, **kwargs: Any):
+    def __init__(self, function: Callable, left_on, right_on, *args: Any, label=None, returns: str | Sequence[str] | None = None, **kwargs: Any):
         super().__init__(left_on, right_on, label)
-        self.function, self.args, self.kwargs = function, args, kwargs
+        self.function, self.args, self.kwargs, self.returns = function, args, kwargs, listed(returns)
+        self.fields: list[T.StructField] = []
+
+    def check(self, left, right):
+        self.fields = [*left, *right]
 
     def columns(self, left, right):
-        out = self.function(*left, *right, *self.args, **self.kwargs)
-        if isinstance(out, Column):
-            return [out]
-        if isinstance(out, (list, tuple)) and all(isinstance(c, Column) for c in out):
-            return list(out)
-        raise ValueError("a comparison function returns a Column or several")
+        if not self.returns:
+            try:
+                out = self.function(*left, *right, *self.args, **self.kwargs)
+            except Exception:  # noqa: BLE001 - no function of Columns
+                out = None
+            if isinstance(out, Column):
+                return [out]
+            if isinstance(out, (list, tuple)) and out and all(isinstance(c, Column) for c in out):
+                return list(out)
+        return self._series(left, right)
+
+    def _types(self) -> list[str]:
+        if self.returns:
+            return self.returns
+        try:
+            found = _outputs(self.function(*map(_probe, self.fields), *self.args, **self.kwargs), 2)
+        except Exception as e:
+            raise ValueError("the comparison function works on neither Columns nor Series of two pairs; name its types with returns") from e
+        kinds = {"b": "boolean", "i": "bigint", "u": "bigint", "f": "double", "M": "timestamp"}
+        return [kinds.get(x.dtype.kind, "string") for x in found]
+
+    def _series(self, left, right):
+        types = self._types()
+        function, args, kwargs = self.function, self.args, self.kwargs
+
+        def apply(*series: pd.Series) -> pd.DataFrame:
+            out = _outputs(function(*series, *args, **kwargs), len(series[0]))
+            # numbers may have become floats for the sake of a missing value
+            return pd.DataFrame({f"c{i}": x.astype("Int64") if t in ("bigint", "int") and x.dtype.kind == "f" else x for i, (x, t) in enumerate(zip(out, types))})
+
+        made = F.pandas_udf(apply, ", ".join(f"c{i} {t}" for i, t in enumerate(types)))(*left, *right)
+        return [made.getField(f"c{i}") for i in range(len(types))]

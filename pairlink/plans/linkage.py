@@ -29,6 +29,7 @@ def block_and_compare(block: Block, compare: Compare, x, x_link=None, spread: in
     l, r = a.columns([*left, *block.left_on], "l"), b.columns([*right, *block.right_on], "r")
     if spread:
         l = l.repartition(spread)
+    l, r = compare.enriched(l, "l"), compare.enriched(r, "r")
     on = F.col("lord") > F.col("rord") if dedup else F.lit(True)
     for i in range(len(block.left_on)):
         lk, rk = f"l{len(left) + i}", f"r{len(right) + i}"

@@ -2,13 +2,15 @@ import datetime as dt
 import math
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairlink import Block, Compare, Date, Exact, FrequencyA, FrequencyB, Geographic, Numeric, RandomContinuous, RandomDiscrete, RecordSet, String, Variable, block_and_compare
-from pairlink.functions import metrics
+from pairlink.functions import metrics, text
 
 
 def aligned(spark, left, right, kind, kind_right=None):
@@ -53,19 +55,25 @@ def test_numeric(spark):
     assert values(spark, Numeric("col", "col", "gauss"), [math.nan], [1.0], "double") == [0]
 
 
-A_DATES = [dt.date(2005, 11, 23), None, dt.date(2004, 11, 23), dt.date(2010, 1, 10), dt.date(2010, 10, 30)]
-B_DATES = [dt.date(2005, 11, 23), dt.date(2010, 12, 31), dt.date(2005, 11, 23), dt.date(2010, 10, 1), dt.date(2010, 9, 30)]
+A_DATES = [dt.date(1998, 3, 17), None, dt.date(2001, 3, 17), dt.date(1987, 2, 5), dt.date(1987, 10, 12), dt.date(1990, 6, 7)]
+B_DATES = [dt.date(1998, 3, 17), dt.date(1990, 12, 31), dt.date(1998, 3, 17), dt.date(1987, 5, 2), dt.date(1987, 9, 12), dt.date(1990, 7, 6)]
 
 
 @pytest.mark.parametrize(
     "args,want",
     [
-        ({}, [1, 0, 0, 0.5, 0.5]),
-        ({"swap_month_day": 0}, [1, 0, 0, 0, 0.5]),
-        ({"swap_month_day": 123.45}, [1, 0, 0, 123.45, 0.5]),
-        ({"swap_month_day": 123.45, "swap_months": [(9, 10, 123.45), (10, 9, 123.45), (1, 2, 123.45), (2, 1, 123.45)]}, [1, 0, 0, 123.45, 123.45]),
-        ({"swap_month_day": None, "missing_value": None}, [1, None, 0, None, 0.5]),
-        ({"missing_value": 9}, [1, 9, 0, 0.5, 0.5]),
+        ({}, [1, 0, 0, 0.5, 0.5, 0.5]),
+        ({"swap_month_day": 0}, [1, 0, 0, 0, 0.5, 0]),
+        ({"swap_month_day": 7.25}, [1, 0, 0, 7.25, 0.5, 7.25]),
+        ({"swap_month_day": 7.25, "swap_months": [(9, 10, 7.25), (10, 9, 7.25), (1, 2, 7.25), (2, 1, 7.25)]}, [1, 0, 0, 7.25, 7.25, 7.25]),
+        # None leaves the swap out, NaN is the value of a swap
+        ({"swap_month_day": None, "missing_value": None}, [1, None, 0, 0, 0.5, 0]),
+        ({"swap_month_day": math.nan, "missing_value": None}, [1, None, 0, None, 0.5, None]),
+        ({"missing_value": 9}, [1, 9, 0, 0.5, 0.5, 0.5]),
+        # the last rule that fits counts, but 1 is final
+        ({"swap_months": [(10, 9, 0.25), (10, 9, 0.75)]}, [1, 0, 0, 0.5, 0.75, 0.5]),
+        ({"swap_months": [(10, 9, 1.0), (10, 9, 0.5)]}, [1, 0, 0, 0.5, 1, 0.5]),
+        ({"swap_month_day": 1, "swap_months": None}, [1, 0, 0, 1, 0, 1]),
     ],
 )
 def test_dates(spark, args, want):
@@ -198,3 +206,38 @@ def test_fused_plan_gives_the_same(spark, rows):
     assert rows(block_and_compare(Block("k"), compare, a)) == rows(compare.compute(Block("k").index(a), a))
     other = RecordSet(people.withColumnRenamed("id", "id2"), "id2")
     assert rows(block_and_compare(Block("k"), compare, a, other)) == rows(compare.compute(Block("k").index(a, other), a, other))
+
+
+def test_functions_of_series(spark):
+    """User functions of pandas Series: arrays, several outputs, further arguments, nulls."""
+    a = spark.createDataFrame([(1, "abc", 1), (2, None, 2), (3, "xyz", None)], "id long, s string, n int")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id_1 long, id_2 long")
+    several = lambda x, n, y, m, k: pd.DataFrame({"size": x.str.len() * k, "sum": n + m})
+    both = lambda x, y: ((x == y).to_numpy(), np.ones(len(x), dtype=int))
+    compare = Compare().compare_vectorized(lambda x, y, k: np.ones(len(x), dtype=int) * k, "s", "s", 5, label="five")
+    compare.compare_vectorized(several, ["s", "n"], ["s", "n"], k=3, label=["size", "sum"]).compare_vectorized(both, "s", "s", label=["same", "one"])
+    compare.compare_vectorized(lambda x, y: [len(v or "") for v in x], "s", "s", label="listed", returns="int")
+    got = [tuple(r)[2:] for r in compare.compute(pairs, a, a).orderBy("id_1").collect()]
+    assert got == [(5, 9, 3, False, 1, 3), (5, None, None, False, 1, 0), (5, 9, None, False, 1, 3)]
+    assert compare.compute(pairs.filter("false"), a, a).count() == 0
+    for bad in (lambda x, y: 1 / 0, lambda x, y: [1]):
+        with pytest.raises(ValueError):
+            Compare().compare_vectorized(bad, "s", "s").compute(pairs, a, a)
+
+
+def test_equal_strings_spare_the_kernel(spark):
+    """What is decided without a kernel reaches it as null."""
+    df = spark.createDataFrame([("same", "same"), ("one", "two"), (None, "x")], "l string, r string")
+    for method in ("jaro", "jarowinkler", "damerau_levenshtein", "smith_waterman", "lcs"):
+        plan = df.select(text.similarity(F.col("l"), F.col("r"), method).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        call = plan[plan.index("apply(") :]
+        assert call.startswith("apply(CASE WHEN") or "CASE WHEN" in call.split("#")[0] or "if (" in call.split("#")[0], call[:80]
+
+
+@given(st.lists(st.tuples(st.text(alphabet="abAB é😀", max_size=12), st.text(alphabet="abAB é😀", max_size=12)), min_size=20, max_size=60))
+@settings(max_examples=30, deadline=None)
+def test_batches_equal_single_pairs(pairs):
+    for kernel in metrics._MANY:
+        np.testing.assert_array_equal(metrics.many(kernel, pairs), np.array([kernel(a, b) for a, b in pairs], dtype=float))
+    long = [("x" * 3000 + a, "x" * 2990 + b) for a, b in pairs[:2]]
+    np.testing.assert_array_equal(metrics.many(metrics.jaro_winkler, long), [metrics.jaro_winkler(a, b) for a, b in long])
