@@ -4,8 +4,9 @@
    letter, postcode, street type, and words.  Words take the spelling of their frequent neighbour (symmetric
    delete index) and belong to the place or to the street by where they mostly occur; a postcode stands for
    the place most of its addresses name.  Addresses that read alike are one *form* from here on.
-2. Every form is indexed under its rarest token, and each other form probes the index with all its tokens;
-   the house number is part of every token, since it must agree.
+2. Every form is indexed under the rarest word of its street (and under the street in one word), and each other
+   form probes the index with all its words; the house number is part of every token, since it must agree.
+   Words whose spellings stayed apart, and streets of several words, meet near ones too.
 3. A candidate is verified: the words of the emptier street must be contained in the fuller one by weight,
    and no component may contradict (another street type, another place).
 4. Forms that leave out the place or the street type are linked to what most of their matches say, and to
@@ -27,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlink.llm.spelling import spellings
+from pairlink.llm.forms import expand
+from pairlink.llm.spelling import near_tokens, spellings
 from pairlink.scratch import Scratch
 
 # Street types with their usual abbreviations, and words that qualify the name of a place.
@@ -91,14 +93,24 @@ def read_address(street: str | None, number: str | None, postcode: str | None, p
     return house, code, [w for w in words[0] + words[1]], words[2]
 
 
-def _parts(cells: list, keep: frozenset[int] = frozenset()) -> tuple[list[str], str, str, list[str]]:
+def _misspelt_type(word: str, n: int, types: dict[str, int]) -> str:
+    """The street type that a far rarer word is a slip of: one edit or one swap of neighbours; '' if none."""
+    for t in TYPES:
+        if len(t) >= 4 and n * 20 <= types.get(t, 0) and (_close(word, t, 1) or sorted(word) == sorted(t) and _close(word, t, 2)):
+            return t
+    return ""
+
+
+def _parts(cells: list, types: dict[str, int], keep: frozenset[int] = frozenset()) -> tuple[list[str], str, str, list[str]]:
     """(street words, street type, place, qualifiers) of the tokens of one address; ``cells`` have field, canon, ps, pp.
 
-    Words of the street field at the positions ``keep`` are street words wherever they mostly occur.
+    ``types`` says how often each street type occurs.  Words of the street field at the positions ``keep`` are
+    street words wherever they mostly occur.
     """
     street, kind, base, quals = [], "", "", []
     held: list[tuple[int, bool]] = []  # words of the street field that mostly occur in places, and whether a type came before
     cells = sorted(cells, key=lambda c: (c["field"], c["pos"]))
+    seen = {c["canon"]: c["ps"] for c in cells}
     river = False
     for i, c in enumerate(cells):
         w = c["canon"]
@@ -128,7 +140,13 @@ def _parts(cells: list, keep: frozenset[int] = frozenset()) -> tuple[list[str],
     if held and not street:
         # a street named like a place: what stands before the type is the street, else the first word
         n = max(sum(not after for _, after in held), 1) if kind else 1
-        return _parts(cells, frozenset(p for p, _ in held[:n]))
+        return _parts(cells, types, frozenset(p for p, _ in held[:n]))
+    if not kind and len(street) > 1:
+        # the last word first, since the type mostly stands behind
+        slips = [(i, _misspelt_type(w, seen[w], types)) for i, w in reversed(list(enumerate(street)))]
+        at, kind = next(((i, t) for i, t in slips if t), (-1, ""))
+        if kind:
+            del street[at]
     return street, kind, base, sorted(set(quals))
 
 
@@ -150,10 +168,10 @@ def _close(a: str, b: str, limit: int) -> bool:
 def _verify(a: tuple, b: tuple) -> int:
     """2: one location, 1: one location unless something says otherwise, 0: they contradict or share too little.
 
-    A side is (street words, their weights, type, place, qualifiers, place by postcode).
+    A side is (street words, their weights, type, place, qualifiers, place by postcode, street in one word).
     """
-    sa, wa, ta, pa, qa, da = a
-    sb, wb, tb, pb, qb, db = b
+    sa, wa, ta, pa, qa, da, x = a
+    sb, wb, tb, pb, qb, db, y = b
     if ta and tb and ta != tb:
         return 0
     if pa and pb:
@@ -163,24 +181,23 @@ def _verify(a: tuple, b: tuple) -> int:
             return 0
         known = True
     else:
-        x, y = pa or da, pb or db
-        if x and y and x != y:
+        at_a, at_b = pa or da, pb or db
+        if at_a and at_b and at_a != at_b:
             return 0
-        known = bool(x and y)
+        known = bool(at_a and at_b)
     weight = dict(zip(sa, wa)) | dict(zip(sb, wb))
     less, more = (sa, sb) if sum(wa) <= sum(wb) else (sb, sa)
     total = sum(weight[w] for w in less)
     held = sum(weight[w] for w in less if w in more)
     whole = sum(weight[w] for w in more)
     if not (total and held >= 0.8 * total and held >= 0.5 * whole):
-        x, y = "".join(sa), "".join(sb)
-        if not (min(len(x), len(y)) >= 8 and _close(x, y, 2 if known else 1)):
+        if not (x == y or min(len(x), len(y)) >= 8 and _close(x, y, 2 if known else 1)):
             return 0
     return 2 if known and bool(ta) == bool(tb) else 1
 
 
-def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, postcode: str, place: str) -> DataFrame:
-    """(``<key>_1``, ``<key>_2``), smaller key first: records that denote one location."""
+def address_forms(addresses: DataFrame, key: str, street: str, number: str, postcode: str, place: str) -> tuple[DataFrame, DataFrame]:
+    """((key, form), (form_1, form_2)): the form of every record with a house number and a street, and the forms of one location."""
     scratch = Scratch(addresses.sparkSession, "addresses")
     src = addresses.select(*(F.col(c).alias(n) for n, c in zip(("e", "s", "n", "c", "p"), (key, street, number, postcode, place))))
     e_type = src.schema["e"].dataType.simpleString()
@@ -201,14 +218,20 @@ def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, p
             F.transform("pw", lambda w, i: F.struct(F.lit(1).alias("field"), i.alias("pos"), w.alias("tok"))),
         )).alias("c")).select("r", "n", "c.*")
     )
-    spelt = spellings(cells.groupBy("tok").agg(F.sum("n").alias("df")), KNOWN, scratch).select("tok", "canon")
+    tokens = cells.groupBy("tok").agg(F.sum("n").alias("df"))
+    near = scratch.save(near_tokens(tokens, long_len=8))
+    spelt = scratch.save(spellings(tokens, KNOWN, scratch, near).select("tok", "canon"))
     cells = cells.join(spelt.hint("merge"), "tok")
     where = cells.groupBy("canon").agg(F.sum(F.when(F.col("field") == 0, F.col("n")).otherwise(0)).alias("ps"), F.sum(F.when(F.col("field") == 1, F.col("n")).otherwise(0)).alias("pp"))
+    where = scratch.save(where)
+    types: dict[str, int] = {}
+    for row in where.filter(F.col("canon").isin(sorted(_TYPE))).select("canon", "ps").collect():  # at most the listed words
+        types[_TYPE[row["canon"]]] = types.get(_TYPE[row["canon"]], 0) + row["ps"]
     cells = cells.join(where.hint("merge"), "canon").groupBy("r").agg(F.collect_list(F.struct("field", "pos", "canon", "ps", "pp")).alias("cells"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(r, *_parts(list(c))) for r, c in zip(pdf["r"], pdf["cells"])], columns=["r", "street", "kind", "base", "quals"])
+            yield pd.DataFrame([(r, *_parts(list(c), types)) for r, c in zip(pdf["r"], pdf["cells"])], columns=["r", "street", "kind", "base", "quals"])
 
     parts = cells.mapInPandas(split, "r string, street array<string>, kind string, base string, quals array<string>")
     full = scratch.save(raw.select("e", "house", "code", "r").join(parts.hint("merge"), "r").filter("size(street) > 0"))
@@ -229,20 +252,35 @@ def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, p
     weighed = words.join(df.hint("merge"), "w").groupBy("form").agg(F.collect_list(F.struct("w", F.log(1 + F.lit(float(total)) / F.col("df")).alias("x"))).alias("ws"))
     forms = scratch.save(forms.join(weighed.hint("merge"), "form"))
 
-    # index under the rarest token that any other address may have too; probe with every token
-    tokens = forms.select("form", "house", F.explode(F.concat(F.col("street"), F.when(F.col("base") != "", F.array("base")).when(F.col("implied") != "", F.array("implied")).otherwise(F.array().cast("array<string>")))).alias("w")).distinct()
+    # index under the rarest street word that any other address of the number has too, and under the street in one
+    # word; probe with every word.  The place is no index token: a popular one would bring all its addresses together.
+    whole = F.when(F.size("street") > 1, F.array(F.concat_ws("", "street"))).otherwise(F.array().cast("array<string>"))
+    tokens = forms.select("form", "house", F.explode(F.array_distinct(F.concat(F.col("street"), whole))).alias("w"), F.when(F.size("street") > 1, F.concat_ws("", "street")).alias("one"))
+    tokens = scratch.save(tokens)
     often = tokens.groupBy("house", "w").agg(F.count("*").alias("k"))
-    tokens = scratch.save(tokens.join(often.filter("k > 1").hint("merge"), ["house", "w"]))
-    rarest = tokens.groupBy("form", "house").agg(F.min(F.struct("k", "w")).getField("w").alias("w")).withColumnRenamed("form", "fa")
-    pairs = rarest.join(tokens.select("house", "w", F.col("form").alias("fb")).hint("merge"), ["house", "w"]).filter("fa <> fb")
-    pairs = pairs.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
+    shared = scratch.save(tokens.join(often.filter("k > 1").hint("merge"), ["house", "w"]))
+    own = F.min(F.when(~F.col("w").eqNullSafe(F.col("one")), F.struct("k", "w"))).getField("w")
+    index = shared.groupBy("form", "house").agg(F.array_compact(F.array(own, F.max(F.when(F.col("w") == F.col("one"), F.col("w"))))).alias("ws"))
+    index = index.select(F.col("form").alias("fa"), "house", F.explode("ws").alias("w"))
+    probe = shared.select("house", "w", F.col("form").alias("fb"))
+    pairs = index.join(probe.hint("merge"), ["house", "w"]).filter("fa <> fb").select("fa", "fb")
+    # words whose spellings stayed apart but are near, and streets of several words that are near in one word
+    kept = spelt.filter("tok = canon").select("tok")
+    apart = near.join(kept.hint("merge"), "tok", "left_semi").join(kept.withColumnRenamed("tok", "other").hint("merge"), "other", "left_semi").select("tok", "other")
+    several = tokens.filter("w = one").groupBy("w").agg(F.count("*").alias("df")).join(kept.select(F.col("tok").alias("w")).hint("merge"), "w", "left_anti").withColumnRenamed("w", "tok")
+    apart = apart.union(near_tokens(several, min_len=8, long_len=8).select("tok", "other"))
+    word = tokens.select("form", "house", F.col("w").alias("tok"))
+    close = word.withColumnRenamed("form", "fa").join(apart.hint("merge"), "tok")
+    close = close.join(word.select(F.col("form").alias("fb"), "house", F.col("tok").alias("other")).hint("merge"), ["house", "other"]).select("fa", "fb")
+    pairs = pairs.union(close).select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
+    forms = forms.withColumn("one", F.concat_ws("", "street"))
     for x in "ab":
-        pairs = pairs.join(forms.select(F.col("form").alias(f"f{x}"), *(F.col(c).alias(c + x) for c in ("ws", "kind", "base", "quals", "implied", "n"))).hint("merge"), f"f{x}")
+        pairs = pairs.join(forms.select(F.col("form").alias(f"f{x}"), *(F.col(c).alias(c + x) for c in ("ws", "one", "kind", "base", "quals", "implied", "n"))).hint("merge"), f"f{x}")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            side = lambda x: zip(pdf["ws" + x], pdf["kind" + x], pdf["base" + x], pdf["quals" + x], pdf["implied" + x])
-            pack = lambda ws, k, b, q, i: ([u["w"] for u in ws], [u["x"] for u in ws], k, b, list(q), i)
+            side = lambda x: zip(pdf["ws" + x], pdf["one" + x], pdf["kind" + x], pdf["base" + x], pdf["quals" + x], pdf["implied" + x])
+            pack = lambda ws, one, k, b, q, i: ([u["w"] for u in ws], [u["x"] for u in ws], k, b, list(q), i, one)
             v = [_verify(pack(*a), pack(*b)) for a, b in zip(side("a"), side("b"))]
             out = pdf[["fa", "fb", "na", "nb", "kinda", "kindb"]].assign(pa=pdf["basea"].where(pdf["basea"] != "", pdf["implieda"]), pb=pdf["baseb"].where(pdf["baseb"] != "", pdf["impliedb"]), v=v)
             yield out[out["v"] > 0]
@@ -270,7 +308,9 @@ def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, p
     weak = weak.filter(F.col("ta").isNotNull() & F.col("tb").isNotNull() & fits(1) & fits(2)).select("fa", "fb")
     linked = sure.union(weak).distinct()
 
-    entry = full.select("e", "form")
-    across = linked.join(entry.select(F.col("form").alias("fa"), F.col("e").alias("x")).hint("merge"), "fa").join(entry.select(F.col("form").alias("fb"), F.col("e").alias("y")).hint("merge"), "fb").select("x", "y")
-    same = entry.select("form", F.col("e").alias("x")).join(entry.select("form", F.col("e").alias("y")).hint("merge"), "form").filter("x < y").select("x", "y")
-    return across.union(same).select(F.least("x", "y").alias(f"{key}_1"), F.greatest("x", "y").alias(f"{key}_2")).filter(F.col(f"{key}_1") != F.col(f"{key}_2")).distinct()
+    return full.select(F.col("e").alias(key), "form").distinct(), linked.select(F.col("fa").alias("form_1"), F.col("fb").alias("form_2"))
+
+
+def linked_addresses(addresses: DataFrame, key: str, street: str, number: str, postcode: str, place: str) -> DataFrame:
+    """(``<key>_1``, ``<key>_2``), smaller key first: records that denote one location; :func:`address_forms` is linear in the records."""
+    return expand(*address_forms(addresses, key, street, number, postcode, place), key)

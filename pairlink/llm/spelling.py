@@ -28,7 +28,7 @@ def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9, max_len:
     words = tokens.filter(F.length("tok").between(min_len, max_len))
     lengths = [r[0] for r in words.filter("df > 0").select(F.length("tok")).distinct().collect()]  # at most max_len
     able = sorted({n + k for n in lengths for k in range(-2, 3)})
-    words = words.filter((F.col("df") > 0) | F.length("tok").isin(able)).repartition(spread, "tok")
+    words = words.filter((F.col("df") > 0) | F.length("tok").isin(able)).repartition(spread, F.xxhash64("tok"))
     entries = words.select(F.struct("tok", "df").alias("t"), F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)).alias("v"))
     shared = entries.groupBy("v").agg(F.collect_list("t").alias("ts")).filter(F.size("ts") > 1).select("ts", F.explode("ts").alias("a")).select("a", F.explode("ts").alias("b"))
     pairs = shared.filter("a.tok < b.tok and abs(length(a.tok) - length(b.tok)) <= 2 and (a.df > 0 or b.df > 0)").distinct()
