@@ -53,6 +53,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 def _fold(text: str | None) -> str:
     if not text:
         return ""
+    if text.isascii():
+        return text.lower().replace("'", "")
     text = unicodedata.normalize("NFKD", text)
     return "".join(c for c in text if not unicodedata.combining(c)).lower().replace("'", "").replace("’", "")
 
