@@ -119,14 +119,22 @@ def idx_neighbourhood(spark, folder):
     return indexing.NeighbourhoodBlock(["p_brand", "p_type", "p_size"], max_non_matches=1, windows=[1, 1, 3]).index(part)
 
 
-@query()
+# A draw is checked by what holds for each: its size, that its ids exist, that pairs are ordered and, without
+# replacement, different.
+
+
+@query("SELECT 2500::BIGINT AS n_rows, 2500::BIGINT AS n_known")
 def idx_random_link(spark, folder):
-    return indexing.Random(2500, random_state=1).index(records(spark, folder, "customer"), records(spark, folder, "supplier"))
+    drawn = indexing.Random(2500, random_state=1).index(records(spark, folder, "customer"), records(spark, folder, "supplier"))
+    known = drawn.join(table(spark, folder, "customer").select("c_custkey"), "c_custkey").join(table(spark, folder, "supplier").select("s_suppkey"), "s_suppkey")
+    return drawn.agg(F.count("*").alias("n_rows")).join(known.agg(F.count("*").alias("n_known")))
 
 
-@query()
+@query("SELECT 40::BIGINT AS n_rows, 40::BIGINT AS n_different, 40::BIGINT AS n_ordered")
 def idx_random_dedup(spark, folder):
-    return indexing.Random(40, replace=False, random_state=1).index(records(spark, folder, "supplier"))
+    drawn = indexing.Random(40, replace=False, random_state=1).index(records(spark, folder, "supplier"))
+    one, two = drawn.columns
+    return drawn.agg(F.count("*").alias("n_rows"), F.count_distinct(one, two).alias("n_different"), F.count_if(F.col(one) > F.col(two)).alias("n_ordered"))
 
 
 @query("SELECT n_nationkey_1, n_nationkey_2, (ntile(7) OVER (ORDER BY n_nationkey_1, n_nationkey_2) - 1)::INT AS chunk FROM (SELECT a.n_nationkey AS n_nationkey_1, b.n_nationkey AS n_nationkey_2 FROM nation a JOIN nation b ON a.n_nationkey > b.n_nationkey)")
@@ -142,11 +150,11 @@ CUSTOMER_IDS = "a.c_custkey AS c_custkey_1, b.c_custkey AS c_custkey_2"
 
 
 def part_features(spark, folder, compare: Compare) -> DataFrame:
-    return block_and_compare(indexing.Block(["p_brand", "p_size"]), compare, records(spark, folder, "part"), spread=spark.sparkContext.defaultParallelism)
+    return block_and_compare(indexing.Block(["p_brand", "p_size"]), compare, records(spark, folder, "part"))
 
 
 def customer_features(spark, folder, compare: Compare) -> DataFrame:
-    return block_and_compare(indexing.Block(["c_nationkey", "c_mktsegment"]), compare, records(spark, folder, "customer"), spread=spark.sparkContext.defaultParallelism)
+    return block_and_compare(indexing.Block(["c_nationkey", "c_mktsegment"]), compare, records(spark, folder, "customer"))
 
 
 @query(f"SELECT {PART_IDS}, CASE WHEN a.p_type IS NULL OR b.p_type IS NULL THEN 0.0 WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END::DOUBLE AS same FROM {PART_PAIRS}")
@@ -186,8 +194,39 @@ text_query("levenshtein", f"CASE WHEN {_LEV} >= 0.5 THEN 1 ELSE 0 END", 0.5)
 text_query("damerau_levenshtein", "1 - damerau_levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))::DOUBLE")
 text_query("jaro", "jaro_similarity(a.p_name, b.p_name)")
 text_query("jarowinkler", "jaro_winkler_similarity(a.p_name, b.p_name)")
-text_query("smith_waterman", "")
-text_query("lcs", "")
+
+
+def _smith_waterman_sql() -> str:
+    """The alignment matrix row by row: match 5, mismatch and first gap -5, a longer gap -1, scaled by the mean length."""
+    diagonal = "r.row[j] + CASE WHEN substr(x, i::INT, 1) = substr(y, j::INT, 1) THEN 5.0 ELSE -5.0 END"
+    across, below = "r.row[j + 1] + CASE WHEN r.wide[j + 1] THEN -1.0 ELSE -5.0 END", "s.row[j] + CASE WHEN s.tall THEN -1.0 ELSE -5.0 END"
+    best = f"greatest({diagonal}, {across}, {below})"
+    cell = f"{{'row': list_append(s.row, greatest({best}, 0.0)::DOUBLE), 'wide': list_append(s.wide, {best} > 0 AND {best} = {across}), 'tall': {best} > 0 AND {best} = {below}, 'best': greatest(s.best, {best})::DOUBLE}}"
+    first = "{'row': [0.0::DOUBLE], 'wide': [false], 'tall': false, 'best': r.best}"
+    start = "{'row': list_transform(range(0, length(y) + 1), lambda k: 0.0::DOUBLE), 'wide': list_transform(range(0, length(y) + 1), lambda k: false), 'tall': false, 'best': 0.0::DOUBLE}"
+    score = f"list_reduce(range(1, length(x) + 1), lambda r, i: list_reduce(range(1, length(y) + 1), lambda s, j: {cell}, {first}), {start}).best"
+    return f"""WITH v AS (SELECT DISTINCT a.p_name AS x, b.p_name AS y FROM {PART_PAIRS}), m AS (SELECT x, y, {score} / (5 * (length(x) + length(y)) / 2.0) AS sim FROM v)
+SELECT {PART_IDS}, round(m.sim::DOUBLE, 6) AS sim FROM {PART_PAIRS} JOIN m ON m.x = a.p_name AND m.y = b.p_name"""
+
+
+def _lcs_sql() -> str:
+    """Common substrings of two characters or more, taken out one after the other, the longest and then the first in front."""
+    found = "list_max(list_filter(flatten(list_transform(range(1, length(x)), lambda i: list_transform(range(2, length(x) - i + 2), lambda k: {'k': k, 'i': -i}))), lambda c: contains(y, substr(x, (-c.i)::INT, c.k::INT))))"
+    return f"""WITH RECURSIVE v AS (SELECT DISTINCT a.p_name AS x, b.p_name AS y FROM {PART_PAIRS}), o AS (SELECT x, y FROM v UNION SELECT y, x FROM v),
+r(x0, y0, x, y, n, c) AS (SELECT x, y, x, y, 0, {found} FROM o UNION ALL SELECT x0, y0, x, y, n, {found} FROM (SELECT x0, y0, n + c.k::INT AS n, substr(x, 1, (-c.i - 1)::INT) || substr(x, (c.k - c.i)::INT) AS x,
+ substr(y, 1, position(substr(x, (-c.i)::INT, c.k::INT) IN y) - 1) || substr(y, (position(substr(x, (-c.i)::INT, c.k::INT) IN y) + c.k)::INT) AS y FROM r WHERE c IS NOT NULL)),
+m AS (SELECT x0, y0, max(n) AS n FROM r GROUP BY ALL)
+SELECT {PART_IDS}, round(((s.n + t.n)::DOUBLE / (length(a.p_name) + length(b.p_name))), 6) AS sim FROM {PART_PAIRS}
+JOIN m s ON s.x0 = a.p_name AND s.y0 = b.p_name JOIN m t ON t.x0 = b.p_name AND t.y0 = a.p_name"""
+
+
+for _method, _sql in (("smith_waterman", _smith_waterman_sql()), ("lcs", _lcs_sql())):
+
+    def _aligned(spark, folder, method=_method):
+        return six(part_features(spark, folder, Compare().string("p_name", "p_name", method, label="sim")), "sim")
+
+    _aligned.__name__ = f"cmp_{_method}"
+    query(_sql)(_aligned)
 
 _GRAMS = """WITH w AS (SELECT p_partkey, unnest(string_split_regex(lower(p_name), '\\s+')) AS t FROM part), g AS (SELECT p_partkey, unnest(list_transform(range(1, length(t) + 2), lambda i: substr(' ' || t || ' ', i::INT, 2))) AS x FROM w WHERE t <> ''),
 c AS (SELECT p_partkey, x, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT p_partkey, sum(n)::DOUBLE AS total, sqrt(sum(n * n)) AS norm FROM c GROUP BY ALL),
@@ -254,6 +293,25 @@ def cmp_frequency(spark, folder):
     return six(person_features(spark, folder, compare), "share")
 
 
+@query(f"""WITH p AS (SELECT {PERSON_IDS}, a.income AS x, b.income AS y, a.place, b.placename FROM {PERSON_PAIRS})
+SELECT rec_id_1, rec_id_2, coalesce(x, -1)::DOUBLE AS income_1, coalesce(y, -1)::DOUBLE AS income_2, CASE WHEN place IS NULL THEN -1 ELSE round(count(*) OVER (PARTITION BY place) / (count(*) OVER ())::DOUBLE, 6) END::DOUBLE AS share_1,
+CASE WHEN placename IS NULL THEN -1 ELSE round(count(*) OVER (PARTITION BY placename) / (count(*) OVER ())::DOUBLE, 6) END::DOUBLE AS share_2 FROM p""")
+def cmp_variable_frequency(spark, folder):
+    """Both sides of a pair through one feature each."""
+    compare = Compare([features.Variable("income", "income", -1, label=["income_1", "income_2"]), features.Frequency("place", "placename", missing_value=-1, label=["share_1", "share_2"])])
+    return six(person_features(spark, folder, compare), "share_1", "share_2")
+
+
+@query(f"""SELECT {PERSON_IDS}, coalesce(length(a.place) - length(b.placename), 0)::BIGINT AS longer, coalesce(a.income / b.income, 0)::DOUBLE AS ratio FROM {PERSON_PAIRS}""")
+def cmp_vectorized_series(spark, folder):
+    """A user's function of pandas Series with two outputs."""
+
+    def both(place_a, income_a, place_b, income_b):
+        return (place_a.str.len() - place_b.str.len()).fillna(0).astype("int64"), (income_a / income_b).fillna(0)
+
+    return person_features(spark, folder, Compare().compare_vectorized(both, ["place", "income"], ["placename", "income"], label=["longer", "ratio"]))
+
+
 @query(f"SELECT {PERSON_IDS}, coalesce(abs(year(a.dob) - year(b.date_of_birth)), -1)::INT AS years, coalesce(a.sex = upper(left(b.gender, 1)), false) AS same_sex FROM {PERSON_PAIRS}")
 def cmp_vectorized(spark, folder):
     def both(born_a: Column, sex: Column, born_b: Column, gender: Column) -> list[Column]:
@@ -262,9 +320,10 @@ def cmp_vectorized(spark, folder):
     return person_features(spark, folder, Compare().compare_vectorized(both, ["dob", "sex"], ["date_of_birth", "gender"], label=["years", "same_sex"]))
 
 
-@query()
+@query(f"SELECT count(*) AS n_rows, count(*) AS n_between, count(*) AS n_listed FROM {CUSTOMER_PAIRS}")
 def cmp_random(spark, folder):
-    return customer_features(spark, folder, Compare([features.RandomContinuous(1, 2, "u", 1), features.RandomDiscrete([1, 5], label="v", random_state=2)]))
+    drawn = customer_features(spark, folder, Compare([features.RandomContinuous(1, 2, "u", 1), features.RandomDiscrete([1, 5], label="v", random_state=2)]))
+    return drawn.agg(F.count("*").alias("n_rows"), F.count_if(F.col("u").between(1, 2)).alias("n_between"), F.count_if(F.col("v").isin(1, 5)).alias("n_listed"))
 
 
 # --- preprocessing ----------------------------------------------------------------------------------------------------
@@ -281,6 +340,11 @@ def prep_accents(spark, folder):
     return table(spark, folder, "documents").select("doc_id", cl.strip_accents(F.col("text")).alias("text"))
 
 
+@query(r"SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(replace(name_a, chr(160), ' '), chr(12288), ' ')), '[^\x00-\x7F]', '', 'g'), '\s\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS name FROM name_entries")
+def prep_accents_ascii(spark, folder):
+    return table(spark, folder, "name_entries").select("entry_id", cl.clean("name_a", lowercase=False, replace_by_none=None, replace_by_whitespace=None, remove_brackets=False, strip_accents="ascii").alias("name"))
+
+
 @query("SELECT addr_id, regexp_replace(street_number, '[^0-9+]+', '', 'g') AS number FROM address_records")
 def prep_phone(spark, folder):
     return table(spark, folder, "address_records").select("addr_id", cl.phonenumbers("street_number").alias("number"))
@@ -292,13 +356,30 @@ def prep_occurrence(spark, folder):
     return cl.value_occurence(records_, "surname", "n")
 
 
+def _singles(sql: str, letters: str) -> str:
+    """Runs of a letter become one."""
+    for c in letters:
+        sql = f"regexp_replace({sql}, '{c}{c}+', '{c}', 'g')"
+    return sql
+
+
+_LETTERS = "upper(regexp_replace(surname, '[-_\\s]', '', 'g'))"
+#: Letters of one sound under one digit, 0 for vowels (and what is no letter); h and w are passed over.
+_SOUNDS = "translate(left(w, 1) || regexp_replace(regexp_replace(substr(w, 2), '[HW]', '', 'g'), '[^A-Z]', 'A', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077')"
+_PHONETIC_SQL = {
+    "soundex": f"""WITH w AS (SELECT rec_id, surname, {_LETTERS} AS w FROM febrl_records)
+SELECT rec_id, surname, CASE WHEN w = '' THEN '' WHEN NOT regexp_matches(w, '^[A-Z]') THEN w ELSE left(w, 1) || left(replace(substr({_singles(_SOUNDS, '123456')}, 2), '0', '') || '000', 3) END AS code FROM w""",
+    "match_rating": f"""WITH w AS (SELECT rec_id, surname, {_LETTERS} AS w FROM febrl_records), c AS (SELECT rec_id, surname, {_singles("left(w, 1) || regexp_replace(substr(w, 2), '[AEIOU]', '', 'g')", 'BCDFGHJKLMNPQRSTVWXYZ')} AS c FROM w)
+SELECT rec_id, surname, CASE WHEN length(c) > 6 THEN left(c, 3) || right(c, 3) ELSE c END AS code FROM c""",
+}
+
 for _method in ("soundex", "nysiis", "metaphone", "match_rating"):
 
     def _phonetic(spark, folder, method=_method):
         return table(spark, folder, "febrl_records").select("rec_id", "surname", phonetic("surname", method).alias("code"))
 
     _phonetic.__name__ = f"prep_{_method}"
-    query()(_phonetic)
+    query(_PHONETIC_SQL.get(_method))(_phonetic)
 
 
 # --- classifiers ------------------------------------------------------------------------------------------------------
@@ -339,6 +420,18 @@ def clf_naive_bayes(spark, folder):
     return six(classify.NaiveBayesClassifier(binarize=0.5).fit(x, matches).prob(x), "prob")
 
 
+_LABELLED = """v AS (SELECT id1, id2, """ + ", ".join(f"CASE WHEN {c} > 0.5 THEN 1 ELSE 0 END AS {c}" for c in SCORES) + """ FROM comparison_pairs),
+l AS (SELECT v.*, CASE WHEN m.id1 IS NULL THEN 0 ELSE 1 END AS y FROM v LEFT JOIN (SELECT DISTINCT id1, id2 FROM comparison_pairs WHERE is_match) m ON v.id1 = m.id1 AND v.id2 = m.id2)"""
+
+
+@query(f"WITH {_LABELLED}, c AS (SELECT feature, x::DOUBLE AS level, sum(y) AS n1, sum(1 - y) AS n0 FROM (UNPIVOT l ON {', '.join(SCORES)} INTO NAME feature VALUE x) GROUP BY feature, x), t AS (SELECT sum(y) AS t1, sum(1 - y) AS t0 FROM l)"
+"SELECT feature, level, round((n1 + 1e-4) / (t1 + 2e-4), 6)::DOUBLE AS m, round((n0 + 1e-4) / (t0 + 2e-4), 6)::DOUBLE AS u, round(((n1 + 1e-4) / (t1 + 2e-4)) / ((n0 + 1e-4) / (t0 + 2e-4)), 4)::DOUBLE AS weight FROM c, t")
+def clf_parameters(spark, folder):
+    """P(level | match), P(level | other) and their ratio of the fitted model."""
+    x, matches = vectors(spark, folder)
+    return six(classify.NaiveBayesClassifier(binarize=0.5).fit(x, matches).params_frame(spark), "m", "u").withColumn("weight", F.round("weight", 4))
+
+
 def _sq(center: float) -> str:
     return " + ".join(f"pow(coalesce({c}, 0) - {center}, 2)" for c in SCORES)
 
@@ -347,25 +440,62 @@ def _sq(center: float) -> str:
 def clf_kmeans_fixed(spark, folder):
     return classify.KMeansClassifier([0.9] * 7, [0.2] * 7).predict(vectors(spark, folder)[0])
 
+_POINT = "[" + ", ".join(f"coalesce({c}, 0)" for c in SCORES) + "]"
+_KMEANS_SQL = f"""WITH RECURSIVE x AS (SELECT id1, id2, {_POINT} AS x FROM comparison_pairs),
+t AS (SELECT ({' + '.join(f"var_pop(x[{i}])" for i in range(1, 8))}) / 7 * 1e-4 AS still FROM x),
+c(n, u, m, done) AS (SELECT 0, list_transform(range(7), lambda k: 0.05::DOUBLE), list_transform(range(7), lambda k: 0.95::DOUBLE), false
+UNION ALL SELECT n + 1, nu, nm, list_distance(nu, u) ** 2 + list_distance(nm, m) ** 2 <= still FROM (
+ SELECT n, u, m, still, [{', '.join(f"avg(x[{i}]) FILTER (NOT near)" for i in range(1, 8))}] AS nu, [{', '.join(f"avg(x[{i}]) FILTER (near)" for i in range(1, 8))}] AS nm
+ FROM (SELECT *, list_distance(x, m) < list_distance(x, u) AS near FROM c, x, t WHERE NOT done AND n < 300) GROUP BY n, u, m, still))
+SELECT id1, id2 FROM x, (SELECT * FROM c ORDER BY n DESC LIMIT 1) WHERE list_distance(x, m) < list_distance(x, u)"""
 
-@query()
+
+@query(_KMEANS_SQL)
 def clf_kmeans(spark, folder):
     return classify.KMeansClassifier().fit_predict(vectors(spark, folder)[0])
 
 
-@query()
+_BITS = "[" + ", ".join(f"CASE WHEN {c} > 0.5 THEN 1 ELSE 0 END" for c in SCORES) + "]"
+_ODDS = "ln(p) - ln(1 - p) + " + " + ".join(f"CASE WHEN x[{i}] = 1 THEN greatest(ln(m[{i}]), -700) - greatest(ln(u[{i}]), -700) ELSE greatest(ln(1 - m[{i}]), -700) - greatest(ln(1 - u[{i}]), -700) END" for i in range(1, 8))
+_ECM_SQL = f"""WITH RECURSIVE v AS (SELECT id1, id2, {_BITS} AS x FROM comparison_pairs), x AS (SELECT x, count(*)::DOUBLE AS w FROM v GROUP BY x),
+c(n, p, m, u, done) AS (SELECT 0, 0.1::DOUBLE, list_transform(range(7), lambda k: 0.9::DOUBLE), list_transform(range(7), lambda k: 0.1::DOUBLE), false
+UNION ALL SELECT n + 1, np, nm, nu, abs(np - p) <= 1e-4 + 1e-5 * np AND {' AND '.join(f"abs(nm[{i}] - m[{i}]) <= 1e-4 + 1e-5 * least(nm[{i}], 1 - nm[{i}]) AND abs(nu[{i}] - u[{i}]) <= 1e-4 + 1e-5 * least(nu[{i}], 1 - nu[{i}])" for i in range(1, 8))} FROM (
+ SELECT n, p, m, u, sum(w * g) / sum(w) AS np, [{', '.join(f"sum(w * g * x[{i}]) / sum(w * g)" for i in range(1, 8))}] AS nm, [{', '.join(f"sum(w * (1 - g) * x[{i}]) / sum(w * (1 - g))" for i in range(1, 8))}] AS nu
+ FROM (SELECT *, 1 / (1 + exp(-({_ODDS}))) AS g FROM c, x WHERE NOT done AND n < 100) GROUP BY n, p, m, u))
+SELECT id1, id2 FROM v, (SELECT * FROM c ORDER BY n DESC LIMIT 1) WHERE {_ODDS} > 0"""
+
+
+@query(_ECM_SQL)
 def clf_ecm(spark, folder):
     return classify.ECMClassifier(binarize=0.5).fit_predict(vectors(spark, folder)[0])
 
 
-@query()
+def _gradient(x: DataFrame, matches: DataFrame, model, slope: Callable[[Column, Column], Column], intercept_penalty: float) -> DataFrame:
+    """(parameter, gradient) of a fitted linear model's objective per pair: 0 everywhere only at the one optimum."""
+    data = classify.with_labels(x, matches)
+    plane = F.lit(model.intercept)
+    for c, w in zip(SCORES, model.coefficients):
+        plane = plane + F.col(c) * w
+    data = data.withColumn("__s", slope(plane, F.col("label").cast("double")))
+    sums = data.agg(F.count("*").alias("n"), *(F.sum(F.col("__s") * F.col(c)).alias(c) for c in SCORES), F.sum("__s").alias("intercept"))
+    penalty = {c: w for c, w in zip(SCORES, model.coefficients)} | {"intercept": model.intercept * intercept_penalty}
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("parameter"), (F.round((F.col(c) + w) / F.col("n"), 4) + 0.0).alias("gradient")) for c, w in penalty.items())))
+    return sums.select(cells.alias("g")).select("g.*")
+
+
+_OPTIMUM = "SELECT unnest([" + ", ".join(f"'{c}'" for c in [*SCORES, "intercept"]) + "]) AS parameter, 0.0::DOUBLE AS gradient"
+
+
+@query(_OPTIMUM)
 def clf_logistic_fit(spark, folder):
-    return classify.LogisticRegressionClassifier().fit_predict(*vectors(spark, folder))
+    x, matches = vectors(spark, folder)
+    return _gradient(x, matches, classify.LogisticRegressionClassifier().fit(x, matches), lambda plane, y: 1 / (1 + F.exp(-plane)) - y, 0.0)
 
 
-@query()
+@query(_OPTIMUM)
 def clf_svm(spark, folder):
-    return classify.SVMClassifier().fit_predict(*vectors(spark, folder))
+    x, matches = vectors(spark, folder)
+    return _gradient(x, matches, classify.SVMClassifier().fit(x, matches), lambda plane, y: -2 * (2 * y - 1) * F.greatest(1 - (2 * y - 1) * plane, F.lit(0.0)), 1.0)
 
 
 class _Centroid:
@@ -378,7 +508,9 @@ class _Centroid:
         return ((x[:, None, :] - self.means) ** 2).sum(axis=2).argmin(axis=1)
 
 
-@query()
+@query(f"""WITH x AS (SELECT id1, id2, {_POINT} AS x FROM comparison_pairs), t AS (SELECT DISTINCT id1, id2 FROM comparison_pairs WHERE is_match),
+l AS (SELECT x.*, t.id1 IS NOT NULL AS y FROM x LEFT JOIN t USING (id1, id2)), c AS (SELECT [{', '.join(f"avg(x[{i}]) FILTER (y)" for i in range(1, 8))}] AS m, [{', '.join(f"avg(x[{i}]) FILTER (NOT y)" for i in range(1, 8))}] AS u FROM l)
+SELECT id1, id2 FROM x, c WHERE list_distance(x, m) < list_distance(x, u)""")
 def clf_adapter_local(spark, folder):
     return classify.DriverModelClassifier(_Centroid()).fit_predict(*vectors(spark, folder))
 
@@ -407,7 +539,8 @@ def net_one_to_many(spark, folder):
     return resolve.OneToManyLinking(0).compute(_links(spark, folder), order_by="o")
 
 
-@query()
+@query(f"""WITH l AS ({_LINKS}), k AS (SELECT list_reduce(list({{'a': [c_custkey], 'b': [s_suppkey]}} ORDER BY o, c_custkey, s_suppkey), lambda s, x:
+CASE WHEN list_contains(s.a, x.a[1]) OR list_contains(s.b, x.b[1]) THEN s ELSE {{'a': s.a || x.a, 'b': s.b || x.b}} END) AS s FROM l) SELECT unnest(s.a) AS c_custkey, unnest(s.b) AS s_suppkey FROM k""")
 def net_one_to_one(spark, folder):
     return resolve.OneToOneLinking().compute(_links(spark, folder), order_by="o")
 
@@ -441,6 +574,15 @@ def eval_confusion(spark, folder):
     return measures.confusion_frame(*_judged(spark, folder))
 
 
+@query(_JUDGED + ", n AS (SELECT count(DISTINCT (id1, id2)) AS total FROM comparison_pairs) SELECT tp, total - tp - fn - fp AS tn, fp, fn FROM c, n")
+def eval_counts(spark, folder):
+    """The four cells one by one."""
+    true, predicted = _judged(spark, folder)
+    total = vectors(spark, folder)[0].select("id1", "id2").distinct()
+    cells = [measures.true_positives(true, predicted), measures.true_negatives(true, predicted, total), measures.false_positives(true, predicted), measures.false_negatives(true, predicted)]
+    return spark.createDataFrame([tuple(int(c) for c in cells)], "tp long, tn long, fp long, fn long")
+
+
 @query(_JUDGED + ", n AS (SELECT count(DISTINCT (id1, id2)) AS total FROM comparison_pairs) " + """SELECT round(tp / (tp + fp)::DOUBLE, 6) AS precision_, round(tp / (tp + fn)::DOUBLE, 6) AS recall_, round((total - fn - fp) / total::DOUBLE, 6) AS accuracy_,
 round((total - tp - fn - fp) / (total - tp - fn)::DOUBLE, 6) AS specificity_, round(2 * tp / (2 * tp + fn + fp)::DOUBLE, 6) AS fscore_ FROM c, n""")
 def eval_scores(spark, folder):
@@ -458,10 +600,13 @@ def eval_reduction_ratio(spark, folder):
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH k AS (SELECT rec_id, regexp_extract(rec_id, 'rec-([0-9]{8})', 1) AS k FROM (SELECT DISTINCT rec_id FROM febrl_records))
-SELECT a.rec_id AS rec_id_1, b.rec_id AS rec_id_2 FROM k a JOIN k b ON a.k = b.k AND a.k <> '' AND a.rec_id > b.rec_id""")
+@query("""WITH r AS (SELECT 'rec-' || c_custkey || '-org' AS id, c_custkey AS k FROM customer UNION ALL SELECT 'rec-' || o_custkey || '-dup-' || o_orderkey, o_custkey FROM orders)
+SELECT a.id AS rec_id_1, b.id AS rec_id_2 FROM r a JOIN r b ON a.k = b.k AND a.id > b.id""")
 def src_true_links(spark, folder):
-    return febrl.true_links(table(spark, folder, "febrl_records").select("rec_id").distinct(), pattern=r"rec-(\d{8})")
+    """Customers as originals and their orders as duplicates, under ids as the generator of such data writes them."""
+    originals = table(spark, folder, "customer").select(F.format_string("rec-%d-org", "c_custkey").alias("rec_id"))
+    copies = table(spark, folder, "orders").select(F.format_string("rec-%d-dup-%d", "o_custkey", "o_orderkey").alias("rec_id"))
+    return febrl.true_links(originals.union(copies))
 
 
 @query("SELECT 'rec-' || i || '-org' AS rec_id_1, 'rec-' || i || '-dup-0' AS rec_id_2 FROM range(5000) t(i)")
@@ -469,9 +614,19 @@ def src_febrl4_links(spark, folder):
     return febrl.links_febrl4(spark)
 
 
-@query()
+_DRAWN_M, _DRAWN_U = [0.95, 0.75, 0.6, 0.9], [0.05, 0.3, 0.1, 0.45]
+
+
+@query("SELECT 40000::BIGINT AS n_rows, 40000::BIGINT AS n_different, true AS as_likely")
 def src_binary_vectors(spark, folder):
-    return generate.binary_vectors(spark, 50_000, 10_000, [0.92, 0.81, 0.85, 0.90, 0.99, 0.70, 0.56], [0.19, 0.23, 0.50, 0.11, 0.20, 0.14, 0.50], random_state=535)
+    """How many vectors come out, and whether every feature is 1 as often as asked for (within five standard errors)."""
+    drawn, links = generate.binary_vectors(spark, 40_000, 8_000, _DRAWN_M, _DRAWN_U, random_state=11, return_links=True)
+    judged = drawn.join(links.withColumn("y", F.lit(True)), ["id_1", "id_2"], "left")
+    near = F.lit(True)
+    for i, (m, u) in enumerate(zip(_DRAWN_M, _DRAWN_U)):
+        for p, n, own in ((m, 8_000, F.col("y").isNotNull()), (u, 32_000, F.col("y").isNull())):
+            near = near & (F.abs(F.avg(F.when(own, F.col(f"c_{i + 1}"))) - p) < 5 * (p * (1 - p) / n) ** 0.5)
+    return judged.agg(F.count("*").alias("n_rows"), F.count_distinct("id_1", "id_2").alias("n_different"), near.alias("as_likely"))
 
 
 @query("""SELECT p.id_a AS id_1, p.id_b AS id_2, a.name_a AS value_a, CASE WHEN b.rec_id IS NOT NULL THEN b.name_b END AS value_b, 2::INT AS n_fields

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -36,12 +37,27 @@ def _ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
+def _decoded(c: Column, encoding: str, decode_error: str) -> Column:
+    if codecs.lookup(encoding).name == "utf-8" and decode_error == "strict":
+        return F.validate_utf8(c.cast("string"))
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else bytes(x).decode(encoding, decode_error)), StringType())(c)
+
+
 def clean(
     c: Column | str, lowercase: bool = True, replace_by_none: str | None = r"[^ \-\_A-Za-z0-9]+", replace_by_whitespace: str | None = r"[\-\_]",
     strip_accents: str | Callable[[pd.Series], pd.Series] | None = None, remove_brackets: bool = True,
+    encoding: str | None = None, decode_error: str = "strict",
 ) -> Column:
-    """Lower case, accents off, brackets with their content out, then the two patterns, single blanks, trimmed.  Null stays null."""
+    """Lower case, accents off, brackets with their content out, then the two patterns, single blanks, trimmed.  Null stays null.
+
+    With an ``encoding`` the column holds bytes, which are decoded first; ``decode_error`` is 'strict' (the
+    query fails), 'ignore' or 'replace'.
+    """
     c = F.col(c) if isinstance(c, str) else c
+    if decode_error not in ("strict", "ignore", "replace"):
+        raise ValueError(f"invalid value for decode_error: {decode_error!r}")
+    if encoding is not None:
+        c = _decoded(c.cast("binary"), encoding, decode_error)
     if lowercase:
         c = F.lower(c)
     if callable(strip_accents):

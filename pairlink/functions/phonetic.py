@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,155 +18,68 @@ _ALIASES = {
 }
 
 
+#: In a rule, the letter before the match stands for itself, or the match does.
+_BEFORE, _SAME = object(), object()
+
+
+class _Table:
+    """Rules (pattern, code) read from left to right: at each place the first pattern that fits gives its code."""
+
+    def __init__(self, *rules: tuple[str, object]):
+        self.pattern = re.compile("|".join(f"(?P<r{i}>{p})" for i, (p, _) in enumerate(rules)), re.DOTALL)
+        self.codes = [c for _, c in rules]
+
+    def code(self, m: re.Match) -> object:
+        return self.codes[int(m.lastgroup[1:])]
+
+    def codes_of(self, word: str, start: int = 0) -> Iterator[str]:
+        for m in self.pattern.finditer(word, start):
+            code = self.code(m)
+            yield m[0] if code is _SAME else word[m.start() - 1] if code is _BEFORE else code
+
+
+# The published rules of the New York State Identification and Intelligence System.
+_NYSIIS_FIRST = _Table((r"^MAC", "MCC"), (r"^KN", "N"), (r"^K", "C"), (r"^P[HF]", "FF"), (r"^SCH", "SSS"))
+_NYSIIS_LAST = _Table((r"(?:IE|EE)\Z", "Y"), (r"(?:[DRN]T|[RN]D)\Z", "D"))
+_NYSIIS_INNER = _Table(
+    (r"EV", "AF"), (r"[AEIOU]", "A"), (r"Q", "G"), (r"Z", "S"), (r"M|KN", "N"), (r"K", "C"), (r"SCH", "SS"), (r"PH", "F"),
+    # h counts between vowels only; w behind a vowel does not
+    (r"(?<=[AEIOU])H(?![AEIOU])", "A"), (r"(?<![AEIOU])H", _BEFORE), (r"(?<=[AEIOU])W", _BEFORE), (r".", _SAME),
+)
+
+
 def nysiis(name: str) -> str:
     """New York State Identification and Intelligence System code, not cut."""
-    word = "".join(c for c in name.upper() if not c.isspace())
+    word = re.sub(r"\s+", "", name.upper())
     if not word:
         return ""
-    for old, new in (("MAC", "MCC"), ("KN", "N"), ("K", "C"), ("PH", "FF"), ("PF", "FF"), ("SCH", "SSS")):
-        if word.startswith(old):
-            word = new + word[len(old) :]
-            break
-    for ends, new in ((("IE", "EE"), "Y"), (("DT", "RT", "RD", "NT", "ND"), "D")):
-        if word.endswith(ends):
-            word = word[:-2] + new
-            break
-    key, i = word[0], 1
-    before = word[0]
-    while i < len(word):
-        c, step = word[i], 1
-        if word.startswith("EV", i):
-            code, step = "AF", 2
-        elif c in "AEIOU":
-            code = "A"
-        elif c == "Q":
-            code = "G"
-        elif c == "Z":
-            code = "S"
-        elif c == "M":
-            code = "N"
-        elif word.startswith("KN", i):
-            code, step = "N", 2
-        elif c == "K":
-            code = "C"
-        elif word.startswith("SCH", i):
-            code, step = "SS", 3
-        elif word.startswith("PH", i):
-            code, step = "F", 2
-        elif c == "H" and (word[i - 1] not in "AEIOU" or word[i + 1 : i + 2] not in tuple("AEIOU")):
-            code = "A" if word[i - 1] in "AEIOU" else word[i - 1]
-        elif c == "W" and word[i - 1] in "AEIOU":
-            code = word[i - 1]
-        else:
-            code = c
-        if code and code[-1] != before:
+    for table in (_NYSIIS_FIRST, _NYSIIS_LAST):
+        word = table.pattern.sub(table.code, word, count=1)
+    key = word[0]
+    for code in _NYSIIS_INNER.codes_of(word, 1):
+        if code[-1] != key[-1]:
             key += code
-        before = key[-1]
-        i += step
-    if key.endswith("S") and key != "S":
-        key = key[:-1]
-    if key.endswith("AY"):
-        key = key[:-2] + "Y"
-    if key.endswith("A") and key != "A":
-        key = key[:-1]
+    # what a key doesn't end in, unless it is all there is
+    for end, rest in ((r"(?<=.)S\Z", ""), (r"AY\Z", "Y"), (r"(?<=.)A\Z", "")):
+        key = re.sub(end, rest, key, flags=re.DOTALL)
     return key
 
 
+# The published rules of Metaphone (0 is th).
+_METAPHONE = _Table(
+    (r"(?P<twin>[^c])(?=(?P=twin))", ""),  # doubled letters count once
+    (r"(?:^|(?<= ))[aeiou]", _SAME), (r"[aeiou]", ""), (r"(?<=m)b(?= |\Z)", ""), (r"ci(?=a)|ch", "x"), (r"c[iey]", "s"), (r"c", "k"), (r"dg[iey]", "j"), (r"d", "t"),
+    (r"g(?=[iey])", "j"), (r"gh(?=[^aeiou])|gn\Z", ""), (r"g", "k"), (r"(?<![aeiou])h|h(?=[aeiou])", "h"), (r"(?<!c)k", "k"), (r"ph", "f"), (r"p", "p"), (r"q", "k"),
+    (r"sh|si[oa]", "x"), (r"t(?=i[oa])", "x"), (r"th", "0"), (r"t(?!ch)", "t"), (r"v", "f"), (r"^wh|w(?=[aeiou])", "w"), (r"^x", "s"), (r"x", "ks"), (r"y(?=[aeiou])", "y"), (r"z", "s"),
+    (r"[bfjlmnrs ]", _SAME), (r".", ""),
+)
+
+
 def metaphone(name: str) -> str:
     """Metaphone code (0 for th), not cut."""
-    s = unicodedata.normalize("NFKD", name.lower())
-    s = "".join(c for c in s if not unicodedata.combining(c))
-    s = re.sub(r"^(kn|gn|pn|wr|ae)", lambda m: m[0][1], s)
-    out = []
-    n, i = len(s), 0
-    at = lambda k: s[k] if 0 <= k < n else "*"
-    while i < n:
-        c, nxt, nn = s[i], at(i + 1), at(i + 2)
-        if c == nxt and c != "c":  # doubled letters count once
-            i += 1
-            continue
-        if c in "aeiou":
-            if i == 0 or at(i - 1) == " ":
-                out.append(c)
-        elif c == "b":
-            if not (at(i - 1) == "m" and nxt in " *"):
-                out.append("b")
-        elif c == "c":
-            if nxt == "i" and nn == "a" or nxt == "h":
-                out.append("x")
-                i += 1
-            elif nxt in "iey":
-                out.append("s")
-                i += 1
-            else:
-                out.append("k")
-        elif c == "d":
-            if nxt == "g" and nn in "iey":
-                out.append("j")
-                i += 2
-            else:
-                out.append("t")
-        elif c in "fjlmnr":
-            out.append(c)
-        elif c == "g":
-            if nxt in "iey":
-                out.append("j")
-            elif nxt == "h" and nn not in "*" and nn not in "aeiou":
-                i += 1
-            elif nxt == "n" and nn == "*":
-                i += 1
-            else:
-                out.append("k")
-        elif c == "h":
-            if i == 0 or nxt in "aeiou" or at(i - 1) not in "aeiou":
-                out.append("h")
-        elif c == "k":
-            if i == 0 or at(i - 1) != "c":
-                out.append("k")
-        elif c == "p":
-            if nxt == "h":
-                out.append("f")
-                i += 1
-            else:
-                out.append("p")
-        elif c == "q":
-            out.append("k")
-        elif c == "s":
-            if nxt == "h":
-                out.append("x")
-                i += 1
-            elif nxt == "i" and nn in "oa":
-                out.append("x")
-                i += 2
-            else:
-                out.append("s")
-        elif c == "t":
-            if nxt == "i" and nn in "oa":
-                out.append("x")
-            elif nxt == "h":
-                out.append("0")
-                i += 1
-            elif not (nxt == "c" and nn == "h"):
-                out.append("t")
-        elif c == "v":
-            out.append("f")
-        elif c == "w":
-            if i == 0 and nxt == "h":
-                i += 1
-                out.append("w")
-            elif nxt in "aeiou":
-                out.append("w")
-        elif c == "x":
-            out.append("s" if i == 0 else "ks")
-        elif c == "y":
-            if nxt in "aeiou":
-                out.append("y")
-        elif c == "z":
-            out.append("s")
-        elif c == " " and out and out[-1] != " ":
-            out.append(" ")
-        i += 1
-    return "".join(out).upper()
+    plain = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
+    plain = re.sub(r"^(?:[kgp](?=n)|w(?=r)|a(?=e))", "", plain)  # a silent first letter
+    return re.sub(" +", " ", "".join(_METAPHONE.codes_of(plain))).lstrip(" ").upper()
 
 
 def _coded(code):

@@ -45,6 +45,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_roots: set[str] = set()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this program now; frames that operators returned before can't be read any more."""
+    for root in sorted(_roots):
+        _delete(spark, root)
+    _roots.clear()
+
+
 class Scratch:
     """Tables of one run of an iterative operator, in their own sub-folder of the shared folder."""
 
@@ -52,6 +62,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _roots.add(self.root)
         atexit.register(_remove, spark, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -64,7 +75,7 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
-        """Delete saved tables that no later plan reads; the rest goes when the driver's program ends."""
+        """Delete saved tables that no later plan reads; the rest goes with :func:`clear` or when the program ends."""
         for df in frames:
             path = getattr(df, "_scratch_path", None)
             if path:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -17,7 +18,8 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
-        folder = tempfile.mkdtemp(prefix="pairlink-zip-")
+        folder = tempfile.mkdtemp(prefix="pairlink-zip-")  # the driver's own; its file server hands the archive out
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.addPyFile(shutil.make_archive(os.path.join(folder, "pairlink"), "zip", os.path.dirname(here), os.path.basename(here)))
         _shipped.add(context)
     return spark

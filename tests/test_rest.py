@@ -1,5 +1,6 @@
 import json
 import math
+import zipfile
 
 import numpy as np
 import pytest
@@ -37,6 +38,18 @@ def test_clean(spark):
         pl.clean("x", strip_accents="unknown")
 
 
+def test_clean_bytes(spark):
+    raw = [bytearray("Zo\u00eb-Ann".encode("latin-1")), bytearray(b"plain"), None]
+    got = lambda **kw: mapped(column(spark, raw, "binary"), pl.clean("x", replace_by_none=None, **kw))
+    assert got(encoding="latin-1") == ["zo\u00eb ann", "plain", None]
+    assert got(encoding="utf-8", decode_error="ignore") == ["zo ann", "plain", None]
+    assert got(encoding="utf-8", decode_error="replace") == ["zo\ufffd ann", "plain", None]
+    with pytest.raises(Exception):
+        got(encoding="utf-8")
+    with pytest.raises(ValueError):
+        pl.clean("x", decode_error="unknown")
+
+
 def test_phone_numbers(spark):
     assert mapped(column(spark, ["0033612345678", "+1 201 123 4567", "+336-123 45678", None]), pl.phonenumbers("x")) == ["0033612345678", "+12011234567", "+33612345678", None]
 
@@ -336,6 +349,11 @@ def test_patterns(spark, tmp_path):
     (home / "block_1.csv").write_text(head + "1,2,0.5,?,1,?,1,1,1,1,0,TRUE\n3,4,0,?,0,?,1,1,1,1,0,FALSE\n")
     vectors, matches = pl.load_patterns(spark, str(tmp_path), block=1, missing_values=0.25)
     assert vectors.count() == 2 and [tuple(r) for r in matches.collect()] == [(1, 2)] and vectors.filter("cmp_firstname2 = 0.25").count() == 2
+    with zipfile.ZipFile(home / "block_3.zip", "w") as archive:
+        archive.writestr("block_3.csv", head + "5,6,0.5,?,1,?,1,1,1,1,0,TRUE\r\n7,8,0,?,0,?,1,1,1,1,?,FALSE\n")
+    vectors, matches = pl.load_patterns(spark, str(tmp_path), block=[1, 3], shuffle=False)
+    assert sorted(r["id1"] for r in vectors.collect()) == [1, 3, 5, 7] and matches.count() == 2
+    assert vectors.filter("id1 = 7 and cmp_zipcode is null and cmp_lastname1 = 0").count() == 1
     with pytest.raises(ValueError):
         pl.load_patterns(spark, str(tmp_path), block=11)
     with pytest.raises(FileNotFoundError):
