@@ -21,17 +21,17 @@ def near_tokens(tokens: DataFrame, min_len: int = 5, long_len: int = 9, max_len:
 
     A token of n characters has n (n + 1) / 2 entries; tokens over ``max_len`` characters are no words and stand for
     themselves.  Tokens with a ``df`` of 0 (tried, but never seen) only meet those that were seen, so of them only
-    the lengths that can be near one are indexed.  Entries are shuffled once; the tokens of a hash are few, since
-    they are one or two insertions away from one string.
+    the lengths that can be near one are indexed.  Entries are shuffled once; few tokens meet in a hash, since they
+    are one or two insertions away from one string.
     """
     spread = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of tokens become many entries: keep all tasks busy
     words = tokens.filter(F.length("tok").between(min_len, max_len))
     lengths = [r[0] for r in words.filter("df > 0").select(F.length("tok")).distinct().collect()]  # at most max_len
     able = sorted({n + k for n in lengths for k in range(-2, 3)})
     words = words.filter((F.col("df") > 0) | F.length("tok").isin(able)).repartition(spread, F.xxhash64("tok"))
-    entries = words.select(F.struct("tok", "df").alias("t"), F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)).alias("v"))
-    shared = entries.groupBy("v").agg(F.collect_list("t").alias("ts")).filter(F.size("ts") > 1).select("ts", F.explode("ts").alias("a")).select("a", F.explode("ts").alias("b"))
-    pairs = shared.filter("a.tok < b.tok and abs(length(a.tok) - length(b.tok)) <= 2 and (a.df > 0 or b.df > 0)").distinct()
+    entries = words.select(F.struct("tok", "df").alias("a"), F.explode(deletes(F.col("tok"), F.length("tok") >= long_len)).alias("v")).repartition(spread, "v")
+    shared = entries.join(entries.select("v", F.col("a").alias("b")).hint("merge"), "v")  # both sides read one exchange
+    pairs = shared.filter("a.tok < b.tok and abs(length(a.tok) - length(b.tok)) <= 2 and (a.df > 0 or b.df > 0)").select("a", "b").distinct()
     a, b = F.col("a.tok"), F.col("b.tok")
     d = F.levenshtein(a, b, 2)
     swap = (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
