@@ -2,8 +2,8 @@
 
 Texts are hashed into blocks of about ``block_tokens`` tokens within their source.  A source's quota is its
 share of the mix, at most ``max_repeats`` times its own size; it is drawn as whole passes over all its
-blocks plus the first blocks of one more permuted pass, the last block being cut between two texts.  The
-draws of a source form one permuted sequence.  The splitting tree halves the range of output shards again
+blocks plus the first blocks of one more permuted pass, the last block being cut between two texts; texts larger
+than what that pass may hold are left out of it.  So a quota is met to within half a text.  The draws of a source form one permuted sequence.  The splitting tree halves the range of output shards again
 and again; at each node the number of draws of every source that goes left is multivariate hypergeometric,
 seeded by the node, so every shard can follow its own path without the others.  What a shard gets are
 disjoint runs of each source's sequence; blocks are joined to them and every shard is shuffled by a hash.
@@ -139,14 +139,17 @@ class Mix:
         plan["passes"] = np.where(plan["tokens"] > 0, plan["quota"] // plan["tokens"].clip(lower=1), 0)
         plan["rest"] = plan["quota"] - plan["passes"] * plan["tokens"]
         plan["n_blocks"] = np.maximum(1, -(-plan["tokens"] // block_tokens))
-        self.plan, self.key, self.source = plan, key, source
+        self.plan, self.key, self.source, self.items = plan, key, source, items
         used = plan[plan["quota"] > 0]
         small = spark.createDataFrame(
             [(r.source, int(r.n_blocks), int(r.passes), int(r.rest)) for r in used.itertuples()], "source string, n_blocks long, passes long, rest long"
         )
         placed = items.join(F.broadcast(small), "source").withColumn("block", F.pmod(F.xxhash64("k", F.lit(seed)), F.col("n_blocks")))
-        blocks = placed.groupBy("source", "block", "n_blocks", "passes", "rest").agg(F.sum("n").alias("tokens"))
+        # a text larger than what is left for the last, partial pass can't be part of it
+        fits = F.sum(F.when(F.col("n") <= F.col("rest"), F.col("n")).otherwise(0)).alias("fits")
+        blocks = placed.groupBy("source", "block", "n_blocks", "passes", "rest").agg(F.sum("n").alias("tokens"), fits)
         blocks = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1)))).withColumn("seed", F.lit(seed))
+        blocks = blocks.withColumn("tokens", F.when(F.col("pass") < F.col("passes"), F.col("tokens")).otherwise(F.col("fits"))).drop("fits")
         ranked = _ranked(blocks, bucket_rows)
         drawn = ranked.filter((F.col("pass") < F.col("passes")) | (F.col("before") < F.col("rest")))
         # tokens to take of the block that the quota ends in
@@ -171,11 +174,12 @@ class Mix:
         leaves = spark.range(shards).mapInPandas(runs, "shard long, source string, first long, n long").filter("n > 0")
         leaves = leaves.select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("pos"))
         given = drawn.join(leaves, ["source", "pos"]).select("source", "block", "pass", "take", "shard")
-        rows = placed.select("k", "source", "n", "block").join(given, ["source", "block"])
+        rows = placed.select("k", "source", "n", "block", "passes", "rest").join(given, ["source", "block"]).filter("pass < passes or n <= rest")
         cut = rows.filter("take is not null").withColumn(
             "c", F.sum("n").over(Window.partitionBy("source", "block", "pass").orderBy(F.xxhash64("k", "pass"), "k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
         )
-        rows = rows.filter("take is null").unionByName(cut.filter("c < take").drop("c"))
+        # the text at the cut is taken if that comes closer to the quota
+        rows = rows.filter("take is null").unionByName(cut.filter("2 * c + n <= 2 * take").drop("c"))
         slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("k", "pass", F.lit(seed)), "k", "pass"))
         self.rows = rows.select(F.col("k").alias(key), F.col("source").alias(source), F.col("pass").alias("repeat_no"), F.col("n").alias("n_tokens"), "shard", slot.alias("slot"))
 

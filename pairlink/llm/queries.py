@@ -67,12 +67,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.linked_addresses(_table(spark, folder, "address_records"), "addr_id", "str_name", "street_number", "postcode", "place")
 
 
+# No table holds token counts, so the SQL of the next queries counts words and marks instead: texts that are too large
+# for a container are so by far, and so are sources that fall short of their share.
+_WORDS = "len(regexp_extract_all(text, '\\w+|[^\\w\\s]'))"
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     capacity = _table(spark, folder, "pack_settings").first()["capacity_tokens"]
     return packing.pack(_table(spark, folder, "documents"), "doc_id", "text", capacity)
 
 
-@query()
+@query(f"SELECT doc_id FROM documents, pack_settings WHERE {_WORDS} > capacity_tokens")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder).filter("piece_no = 0 and n_pieces > 1").select("doc_id")
 
@@ -82,11 +87,25 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(_packed(spark, folder))
 
 
+@query("SELECT count(*) AS n_texts, 0::BIGINT AS n_over, 0::BIGINT AS n_gaps, true AS well_filled FROM documents WHERE text <> ''")
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for every packing: each text is in, no container is over its length, pieces join up, little room is left."""
+    packed = _packed(spark, folder)
+    texts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("k"), F.max("n_pieces").alias("m"))
+    texts = texts.agg(F.count("*").alias("n_texts"), F.count_if((F.col("n") != F.col("end")) | (F.col("k") != F.col("m"))).alias("n_gaps"))
+    boxes = packing.containers(packed).agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_over"), (F.sum("used") / F.sum("capacity") > 0.99).alias("well_filled"))
+    return texts.join(boxes).select("n_texts", "n_over", "n_gaps", "well_filled")  # one row each
+
+
 def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
     return mixing.Mix(_table(spark, folder, "documents"), "doc_id", "text", "source", _table(spark, folder, "mix_targets"))
 
 
-@query()
+_SHORT = f"""WITH s AS (SELECT source, sum({_WORDS}) AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS total FROM s),
+m AS (SELECT m.source, coalesce(n, 0) * max_repeats < target_share * total AS short FROM mix_targets m LEFT JOIN s USING (source), t) """
+
+
+@query(_SHORT + "SELECT source FROM m WHERE short")
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).report().filter("short").select("source")
 
@@ -96,6 +115,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).report()
 
 
+@query(_SHORT + "SELECT source, short, true AS kept FROM m")
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: is it short, and does it give all its permitted repeats, or its share of the mix to within half a text?"""
+    mix = _mix(spark, folder)
+    rest = spark.createDataFrame([(r.source, int(r.rest)) for r in mix.plan.itertuples()], "source string, rest long")
+    longest = mix.items.join(rest, "source").filter("n <= rest").groupBy("source").agg(F.max("n").alias("longest"))
+    off = F.abs(F.col("n_tokens") - F.col("target_share") * mix.total)
+    kept = F.when(F.col("short"), F.col("n_tokens") == F.col("source_tokens") * F.col("max_repeats")).otherwise(2 * off <= F.coalesce("longest", F.lit(0)) + 2)
+    return mix.report().join(longest, "source", "left").select("source", "short", kept.alias("kept"))
+
+
 @query()
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).rows

@@ -15,7 +15,9 @@ COLUMNS = {"p1_found": ["rec_id", "group_id"], "p2_found": ["entry_id_1", "entry
 
 @pytest.mark.parametrize("name", list(q.queries()))
 def test_query(spark, name):
-    df = q.queries()[name](spark, FOLDER)
+    # where the SQL measures texts by words, the smallest tables hold too few of them to tell what falls short
+    folder = FOLDER.replace("sf0.001", "sf0.01") if name in ("p7_found", "p7_kept") else FOLDER
+    df = q.queries()[name](spark, folder)
     rows = [tuple(r) for r in df.collect()]
     if name in COLUMNS:
         assert df.columns == COLUMNS[name] and rows and len(set(rows)) == len(rows)
@@ -23,6 +25,6 @@ def test_query(spark, name):
             assert all(a < b for a, b in rows)
     if name in q.oracle_sql():
         con = duckdb.connect()
-        for t in os.listdir(FOLDER):
-            con.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{FOLDER}/{t}'")
+        for t in os.listdir(folder):
+            con.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{folder}/{t}'")
         assert sorted(rows) == sorted(con.execute(q.oracle_sql()[name]).fetchall())
