@@ -243,6 +243,20 @@ def cmp_cosine(spark, folder):
     return six(part_features(spark, folder, Compare().string("p_name", "p_name", "cosine", label="sim")), "sim")
 
 
+_GAP = "abs(b.s_acctbal - a.s_acctbal)"
+
+
+@query(f"""SELECT a.s_suppkey AS s_suppkey_1, b.s_suppkey AS s_suppkey_2, round(1 - levenshtein(a.s_name, b.s_name) / greatest(length(a.s_name), length(b.s_name))::DOUBLE, 6) AS lev,
+round(jaro_similarity(a.s_name, b.s_name), 6) AS jaro, round(jaro_winkler_similarity(a.s_name, b.s_name), 6) AS jw, CASE WHEN a.s_nationkey = b.s_nationkey THEN 1.0 ELSE 0.0 END::DOUBLE AS nation,
+round((1 - least({_GAP}, 2000) / 2000)::DOUBLE, 6) AS near, round(pow(2, -pow({_GAP} / 1000, 2)), 6) AS nearer FROM supplier a JOIN supplier b ON a.s_suppkey > b.s_suppkey""")
+def cmp_full_dedup(spark, folder):
+    """Every pair of a table with six features: 499,500 pairs at scale 0.1."""
+    suppliers = records(spark, folder, "supplier")
+    compare = Compare().string("s_name", "s_name", label="lev").string("s_name", "s_name", "jaro", label="jaro").string("s_name", "s_name", "jarowinkler", label="jw")
+    compare.exact("s_nationkey", "s_nationkey", label="nation").numeric("s_acctbal", "s_acctbal", "linear", scale=1000, label="near").numeric("s_acctbal", "s_acctbal", "gauss", scale=1000, label="nearer")
+    return six(compare.compute(indexing.Full().index(suppliers), suppliers), "lev", "jaro", "jw", "near", "nearer")
+
+
 _D = "abs(b.c_acctbal - a.c_acctbal)"
 for _method, _sql in {
     "step": f"CASE WHEN {_D} <= 100 THEN 1 ELSE 0 END",

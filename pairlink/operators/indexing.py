@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pairlink.log import logger
 from pairlink.operators.positions import with_positions
-from pairlink.records import RecordSet, listed, pair_names, same_family, sides
+from pairlink.records import RecordSet, dealt, listed, pair_names, same_family, sides
 from pairlink.scratch import Scratch
 
 
@@ -53,7 +53,7 @@ class Full(IndexAlgorithm):
 
     def _pairs(self, a: RecordSet, b: RecordSet, dedup: bool) -> DataFrame:
         logger.warning("indexing: the full index has a pair for every two records")
-        left, right = a.columns([], "l"), b.columns([], "r")
+        left, right = dealt(a.columns([], "l")), b.columns([], "r")
         joined = left.join(right, _below(True)) if dedup else left.crossJoin(right)
         return joined.select("lid", "rid")
 

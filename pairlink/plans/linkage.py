@@ -12,31 +12,20 @@ from pyspark.sql import functions as F
 
 from pairlink.operators.compare import Compare
 from pairlink.operators.indexing import Block
-from pairlink.records import pair_names, same_family, sides
-
-
-def _few_splits(df: DataFrame) -> bool:
-    """Is the table so small that the scan can't give every core a split of its own?"""
-    if df.isStreaming:
-        return False
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = df.sparkSession._jsparkSession.sessionState().conf().filesOpenCostInBytes()
-    return size < least * df.sparkSession.sparkContext.defaultParallelism
+from pairlink.records import dealt, pair_names, same_family, sides
 
 
 def block_and_compare(block: Block, compare: Compare, x, x_link=None) -> DataFrame:
     """The same rows as ``compare.compute(block.index(x, x_link), x, x_link)``.
 
-    Left records of a table of a file or two, whose pairs would all be compared in the few tasks that read it,
-    are dealt over the cores first; large tables have enough splits of their own and don't pay for it.
+    Left records of a table of a file or two are dealt over the cores first.
     """
     a, b = sides(x, x_link)
     one, two = pair_names(a, b)
     dedup, b = b is None, b or a
     left, right = compare.needed()
     l, r = a.columns([*left, *block.left_on], "l"), b.columns([*right, *block.right_on], "r")
-    if _few_splits(a.df):
-        l = l.repartition(a.df.sparkSession.sparkContext.defaultParallelism)
+    l = dealt(l)
     l, r = compare.enriched(l, "l"), compare.enriched(r, "r")
     on = F.col("lord") > F.col("rord") if dedup else F.lit(True)
     for i in range(len(block.left_on)):

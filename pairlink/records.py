@@ -18,6 +18,20 @@ def null_if_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is so small that its scan can't give every core a split of its own.
+
+    Else the pairs of a table of a file or two would all be made in the few tasks that read it.  Larger tables have
+    splits enough and don't pay for a shuffle.
+    """
+    spark = df.sparkSession
+    if df.isStreaming:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() * cores else df
+
+
 @dataclass(frozen=True)
 class RecordSet:
     """Records with a unique id.  ``order_by`` decides which record of a pair comes first in deduplication."""
