@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlink.records import pair_columns
@@ -133,10 +133,9 @@ class ConnectedComponents:
 
     @staticmethod
     def _saved(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
-        """The written edges, and what tells them from other sets of edges, both from one job."""
-        seen = Observation()
-        saved = scratch.save(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
-        return saved, (seen.get["n"], seen.get["x"])
+        """The written edges, and what tells them from other sets of edges (no Observation: it would keep models of Spark ML from being serialised)."""
+        saved = scratch.save(edges)
+        return saved, tuple(saved.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     @staticmethod
     def _large(edges: DataFrame) -> DataFrame:

@@ -267,6 +267,15 @@ def test_components_take_few_rounds(spark):
     assert found.rounds_run <= 2 * math.log2(65) + 4
 
 
+def test_models_stay_serialisable_after_iterative_operators(spark):
+    """An Observation in the session would make the summary of a Spark ML model, which holds the session, fail in tasks."""
+    from pyspark.ml.classification import LogisticRegression
+
+    assert pl.ConnectedComponents().compute(spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")).count() == 2
+    x = spark.createDataFrame([(i, i, float(i % 2)) for i in range(40)], "id_1 int, id_2 int, c double")
+    assert pl.SparkMLClassifier(LogisticRegression()).fit(x, x.filter("c = 1").select("id_1", "id_2")).prob(x).count() == 40
+
+
 def test_components_of_odd_links(spark, rows):
     odd = spark.createDataFrame([(1, 1), (None, 2), (3, None), (5, 4), (5, 4), (4, 5)], "a int, b int")
     assert rows(pl.ConnectedComponents().compute(odd)) == sorted([(1, 1, 1), (3, 3, None), (4, 4, 5), (4, 5, 4), (4, 5, 4)], key=str)
