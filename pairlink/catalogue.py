@@ -515,8 +515,9 @@ def clf_svm(spark, folder):
 class _Centroid:
     """A small local model: the nearer of the two class means."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.means = np.stack([x[y == k].mean(axis=0) for k in (0, 1)])
+    def fit(self, x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray | None = None) -> None:
+        w = np.ones(len(x)) if sample_weight is None else sample_weight
+        self.means = np.stack([w[y == k] @ x[y == k] / w[y == k].sum() for k in (0, 1)])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return ((x[:, None, :] - self.means) ** 2).sum(axis=2).argmin(axis=1)

@@ -8,6 +8,7 @@ the linear models Spark ML.  Prediction is a Column expression, so it stays lazy
 
 from __future__ import annotations
 
+import inspect
 import math
 import warnings
 from collections.abc import Sequence
@@ -478,18 +479,31 @@ class SparkMLClassifier(PairClassifier):
 class DriverModelClassifier(PairClassifier):
     """Adapter of a local model with fit(X, y), predict(X) and perhaps predict_proba(X).
 
-    Training takes at most ``max_rows`` rows to the driver and refuses more; prediction runs in the tasks.
+    Training takes the distinct vectors and their counts to the driver, at most ``max_rows`` of them, and
+    refuses more.  The model gets up to ``max_rows`` rows one by one.  More rows it gets as distinct vectors
+    under ``sample_weight``, if its fit takes that, and not at all otherwise.  Prediction runs in the tasks.
     """
 
     def __init__(self, kernel: Any, supervised: bool = True, max_rows: int = 1_000_000):
         self.kernel, self.supervised, self.max_rows = kernel, supervised, max_rows
 
     def _fit(self, data, features):
-        pdf = data.limit(self.max_rows + 1).toPandas()
+        distinct = data.groupBy(*features, *["label"] * self.supervised).agg(F.count("*").alias("__n"))
+        pdf = distinct.limit(self.max_rows + 1).toArrow().to_pandas()
         if len(pdf) > self.max_rows:
-            raise ValueError(f"more than {self.max_rows} training rows")
-        x = pdf[list(features)].to_numpy(dtype=float)
-        self.kernel.fit(x, pdf["label"].to_numpy()) if self.supervised else self.kernel.fit(x)
+            raise ValueError(f"more than {self.max_rows} different training rows")
+        x, n = pdf[list(features)].to_numpy(dtype=float), pdf["__n"].to_numpy()
+        weights = {}
+        if n.sum() > self.max_rows:
+            if "sample_weight" not in inspect.signature(self.kernel.fit).parameters:
+                raise ValueError(f"more than {self.max_rows} training rows, and the model's fit takes no sample_weight")
+            weights = {"sample_weight": n.astype(float)}
+            at = np.arange(len(n))
+        else:
+            # equal rows apart, for models that learn row by row
+            at = np.random.default_rng(0).permutation(np.repeat(np.arange(len(n)), n))
+        y = [pdf["label"].to_numpy()[at]] if self.supervised else []
+        self.kernel.fit(x[at], *y, **weights)
 
     def _apply(self, vectors: DataFrame, out: str, function) -> DataFrame:
         model = vectors.sparkSession.sparkContext.broadcast(cloudpickle.dumps(self.kernel))

@@ -215,6 +215,21 @@ def test_adapters(data):
         pl.DriverModelClassifier(stump(), max_rows=10).fit(v, links)
 
 
+def test_adapter_of_more_rows_than_the_driver_takes(spark, rows):
+    """Beyond max_rows a model learns from distinct vectors with their counts; to the means that is the same."""
+    from pairlink.catalogue import _Centroid
+
+    v = spark.range(300).selectExpr("id", "id + 1 as id2", "cast(id % 3 as double) as x", "if(id % 50 = 0, 9.0D, cast(id % 2 as double)) as y")
+    matches = v.filter("id % 3 = 2 or id % 50 = 0").select("id", "id2")
+    few, all_ = pl.DriverModelClassifier(_Centroid(), max_rows=30), pl.DriverModelClassifier(_Centroid())
+    assert rows(few.fit_predict(v, matches)) == rows(all_.fit_predict(v, matches)) != []
+    np.testing.assert_allclose(few.kernel.means, all_.kernel.means)
+    with pytest.raises(ValueError, match="sample_weight"):
+        pl.DriverModelClassifier(stump(), max_rows=30).fit(v, matches)
+    with pytest.raises(ValueError, match="different"):
+        few.fit(v.withColumn("x", v.id * 1.0), matches)
+
+
 # links
 
 
