@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlink.log import logger
+from pairlink.operators.meeting import meet
 from pairlink.operators.positions import with_positions
 from pairlink.records import RecordSet, dealt, listed, pair_names, same_family, sides
 from pairlink.scratch import Scratch
@@ -75,12 +76,10 @@ class Block(IndexAlgorithm):
 
     def _pairs(self, a, b, dedup):
         left, right = a.columns(self.left_on, "l"), b.columns(self.right_on, "r")
-        on: Column = _below(dedup)
         for i in range(len(self.left_on)):
             if not same_family(left.schema[f"l{i}"].dataType, right.schema[f"r{i}"].dataType):
                 raise ValueError(f"keys of different types can't block: {self.left_on[i]}, {self.right_on[i]}")
-            on = on & (F.col(f"l{i}") == F.col(f"r{i}"))
-        return left.join(right, on).select("lid", "rid")
+        return meet(left, right, [(f"l{i}", f"r{i}") for i in range(len(self.left_on))], _below(dedup)).select("lid", "rid")
 
     def _link(self, a, b):
         return self._pairs(a, b, False)

@@ -177,3 +177,29 @@ def test_split(spark, ab):
     assert with_chunks(pairs, 1000).select("chunk").distinct().count() == 450
     with pytest.raises(ValueError):
         index_split(pairs, 0)
+
+
+@pytest.fixture
+def tiles(spark, monkeypatch):
+    """Tiles of three rows, and no table so small that all tasks get it."""
+    from pairlink.operators import meeting
+
+    monkeypatch.setattr(meeting, "TILE", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield meeting
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_a_popular_key_are_made_in_several_tasks(spark, rows, tiles):
+    people = [(i, None if i == 7 else "p" if i < 40 else f"k{i % 4}") for i in range(60)]
+    a = RecordSet(spark.createDataFrame(people, "id int, k string"), "id")
+    b = RecordSet(spark.createDataFrame([(100 + i, k) for i, k in people[:50]], "other int, k string"), "other")
+    once = Block("k").index(a)
+    assert rows(once) == sorted(((x, y) for x, k in people for y, m in people if k is not None and k == m and x > y), key=str)
+    assert rows(Block("k").index(a, b)) == sorted(((x, 100 + y) for x, k in people for y, m in people[:50] if k is not None and k == m), key=str)
+    where = once.filter("id_1 < 40").withColumn("task", F.spark_partition_id()).groupBy("task").count()
+    assert where.count() > 4
+    # a key's rows on either side may be few, and types may differ
+    c = RecordSet(spark.createDataFrame([(i, i % 2) for i in range(30)], "c int, k long"), "c")
+    d = RecordSet(spark.createDataFrame([(i, i % 3) for i in range(4)], "d int, k int"), "d")
+    assert rows(Block("k").index(c, d)) == sorted(((x, y) for x in range(30) for y in range(4) if x % 2 == y % 3), key=str)
