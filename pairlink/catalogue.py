@@ -153,8 +153,8 @@ def part_features(spark, folder, compare: Compare) -> DataFrame:
     return block_and_compare(indexing.Block(["p_brand", "p_size"]), compare, records(spark, folder, "part"))
 
 
-def customer_features(spark, folder, compare: Compare) -> DataFrame:
-    return block_and_compare(indexing.Block(["c_nationkey", "c_mktsegment"]), compare, records(spark, folder, "customer"))
+def customer_features(spark, folder, compare: Compare, sum_above: float | None = None) -> DataFrame:
+    return block_and_compare(indexing.Block(["c_nationkey", "c_mktsegment"]), compare, records(spark, folder, "customer"), sum_above=sum_above)
 
 
 @query(f"SELECT {PART_IDS}, CASE WHEN a.p_type IS NULL OR b.p_type IS NULL THEN 0.0 WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END::DOUBLE AS same FROM {PART_PAIRS}")
@@ -171,8 +171,8 @@ PERSON_PAIRS = "person_a a JOIN person_b b ON a.surname = b.surname"
 PERSON_IDS = "a.rec_id AS rec_id_1, b.rec_id AS rec_id_2"
 
 
-def person_features(spark, folder, compare: Compare) -> DataFrame:
-    return block_and_compare(indexing.Block("surname"), compare, records(spark, folder, "person_a"), records(spark, folder, "person_b"))
+def person_features(spark, folder, compare: Compare, sum_above: float | None = None) -> DataFrame:
+    return block_and_compare(indexing.Block("surname"), compare, records(spark, folder, "person_a"), records(spark, folder, "person_b"), sum_above)
 
 
 @query(f"SELECT {PERSON_IDS}, CASE WHEN a.place IS NULL OR b.placename IS NULL THEN 'unknown' WHEN a.place = b.placename THEN '1.0' ELSE '0.0' END AS same FROM {PERSON_PAIRS}")

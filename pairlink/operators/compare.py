@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlink.operators import features as ft
@@ -55,6 +56,24 @@ class Compare:
                 made |= {f"{prefix}f{n}_{i}": once(F.col(f"{prefix}{names.index(c)}")) for i, c in enumerate(f.left_on if prefix == "l" else f.right_on)}
         return side.withColumns(made) if made else side
 
+    def ahead(self, l: DataFrame, r: DataFrame, keys: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+        """The two sides with what features know of all pairs that agree on ``keys`` before these are made."""
+        left, right = self.needed()
+        for n, f in enumerate(self.features):
+            if isinstance(f, ft.Frequency):
+                f.own = f"__f{n}"
+                l, r = f.ahead(l, r, [F.col(f"l{left.index(c)}") for c in f.left_on], [F.col(f"r{right.index(c)}") for c in f.right_on], keys)
+        return l, r
+
+    def may_exceed(self, total: float) -> Column:
+        """False where the features of a pair can't add up to more than ``total`` (null counts as 0); reads l0 ... and r0 ..., no dear feature."""
+        left, right = self.needed()
+        most = [f.most([F.col(f"l{left.index(c)}") for c in f.left_on], [F.col(f"r{right.index(c)}") for c in f.right_on]) for f in self.features]
+        if not most or any(m is None for m in most):
+            return F.lit(True)
+        # a little more, for what rounding does
+        return reduce(Column.__add__, (F.coalesce(m, F.lit(0.0)) for m in most)) > total - 1e-9
+
     def compute(self, pairs: DataFrame, x, x_link=None) -> DataFrame:
         """``pairs`` with a column per feature; every row of ``pairs`` is kept, repeated ones too."""
         if not isinstance(pairs, DataFrame):

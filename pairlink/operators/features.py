@@ -55,6 +55,10 @@ class Feature:
     def columns(self, left: list[Column], right: list[Column]) -> list[Column]:
         raise NotImplementedError("a feature needs columns")
 
+    def most(self, left: list[Column], right: list[Column]) -> Column | None:
+        """What the feature is at most for a pair, as far as that is cheap to tell; None if nothing is known."""
+        return None
+
 
 BaseCompareFeature = Feature
 
@@ -89,6 +93,9 @@ class Exact(Feature):
         lit = lambda x: F.lit(None if x is None else str(x) if as_text else x)
         return [F.when(l.isNull() | r.isNull(), lit(_number(self.missing))).when(l == r, lit(agree)).otherwise(lit(other)).cast("string" if as_text else "double")]
 
+    def most(self, left, right):
+        return None if any(isinstance(_number(x), str) for x in (self.agree, self.disagree, self.missing)) else self.columns(left, right)[0]
+
 
 class String(Feature):
     def __init__(self, left_on, right_on, method: str = "levenshtein", threshold: float | None = None, missing_value: Any = 0.0, label=None):
@@ -112,6 +119,17 @@ class String(Feature):
             value = F.when(value >= self.threshold, 1.0).otherwise(0.0)
         return [mixed(known, value, self.missing)]
 
+    def most(self, left, right):
+        """1, and for the edit distance what the lengths of different strings leave."""
+        missing = _number(self.missing)
+        if isinstance(missing, str):
+            return None
+        l, r = left[0].cast("string"), right[0].cast("string")
+        best = F.lit(1.0)
+        if self.threshold is None and text.ALIASES.get(self.method) == "levenshtein":
+            best = F.when(l == r, best).otherwise(1 - F.try_divide(F.greatest(F.abs(F.length(l) - F.length(r)), F.lit(1)), F.greatest(F.length(l), F.length(r))))
+        return F.greatest(best, F.lit(0.0 if missing is None else missing))
+
 
 class Numeric(Feature):
     def __init__(self, left_on, right_on, method: str = "linear", offset: float = 0.0, scale: float = 1.0, origin: float = 0.0, missing_value: Any = 0.0, label=None):
@@ -131,6 +149,9 @@ class Numeric(Feature):
         value = decay.similarity(self._distance(left, right), *self.args)
         return [mixed(value.isNotNull(), value, self.missing)]
 
+    def most(self, left, right):
+        return None if isinstance(_number(self.missing), str) else self.columns(left, right)[0]
+
 
 class Geographic(Numeric):
     """The decay of the great-circle distance in km; the method has no default."""
@@ -181,6 +202,9 @@ class Date(Feature):
             value = value.when(fits, F.lit(_number(v)).cast("double"))
         return [mixed(l.isNotNull() & r.isNotNull(), value.otherwise(F.lit(0.0)), self.missing)]
 
+    def most(self, left, right):
+        return None if isinstance(_number(self.missing), str) else self.columns(left, right)[0]
+
 
 class Variable(Feature):
     """Passes columns of either side through."""
@@ -210,7 +234,29 @@ class Frequency(Feature):
         super().__init__(left_on, right_on, label)
         self.normalise, self.missing = normalise, missing_value
 
+    def ahead(self, l: DataFrame, r: DataFrame, left: list[Column], right: list[Column], keys: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+        """Records with the counts of their values among the pairs that agree on ``keys``, so that no pair has to be moved for them.
+
+        A record is in as many pairs as the other side has records of its keys.
+        """
+        k = [f"__k{i}" for i in range(len(keys))]
+        sizes = [side.groupBy(*(F.col(pair[at]).alias(x) for x, pair in zip(k, keys))).agg(F.count("*").alias("__m")) for at, side in enumerate((l, r))]
+        out = [l, r]
+        for i, c in enumerate((*left, *right)):
+            at = int(i >= len(left))
+            own = [F.col(pair[at]) for pair in keys]
+            held = (l, r)[at].filter(c.isNotNull()).groupBy(c.alias(f"{self.own}v{i}"), *(x.alias(f"__o{j}") for j, x in enumerate(own))).agg(F.count("*").alias("__n"))
+            held = held.join(sizes[1 - at], [F.col(f"__o{j}") == F.col(x) for j, x in enumerate(k)])
+            counts = held.groupBy(f"{self.own}v{i}").agg(F.sum(F.col("__n") * F.col("__m")).cast("double").alias(f"{self.own}c{i}"))
+            out[at] = out[at].join(counts, c == F.col(f"{self.own}v{i}"), "left").drop(f"{self.own}v{i}")
+        if self.normalise:
+            both = sizes[0].join(sizes[1].toDF(*(f"__o{j}" for j in range(len(k))), "__n"), [F.col(f"__o{j}") == F.col(x) for j, x in enumerate(k)])
+            out[0] = out[0].join(F.broadcast(both.agg(F.sum(F.col("__m") * F.col("__n")).cast("double").alias(f"{self.own}n"))), how="cross")  # one row
+        return out[0], out[1]
+
     def prepare(self, joined, left, right):
+        if f"{self.own}c0" in joined.columns:
+            return joined
         # one small aggregate per column joined back, rather than a window that sorts all pairs by the value
         if self.normalise:
             joined = joined.join(F.broadcast(joined.agg(F.count("*").cast("double").alias(f"{self.own}n"))), how="left")  # one row

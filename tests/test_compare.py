@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairlink import Block, Compare, Date, Exact, FrequencyA, FrequencyB, Geographic, Numeric, RandomContinuous, RandomDiscrete, RecordSet, String, Variable, block_and_compare
+from pairlink import Block, Compare, Date, Exact, Frequency, FrequencyA, FrequencyB, Geographic, Numeric, RandomContinuous, RandomDiscrete, RecordSet, String, Variable, block_and_compare
 from pairlink.functions import metrics, text
 
 
@@ -241,3 +241,36 @@ def test_batches_equal_single_pairs(pairs):
         np.testing.assert_array_equal(metrics.many(kernel, pairs), np.array([kernel(a, b) for a, b in pairs], dtype=float))
     long = [("x" * 3000 + a, "x" * 2990 + b) for a, b in pairs[:2]]
     np.testing.assert_array_equal(metrics.many(metrics.jaro_winkler, long), [metrics.jaro_winkler(a, b) for a, b in long])
+
+
+def people(spark):
+    a = spark.createDataFrame([(i, "s" if i < 25 else f"s{i % 3}" if i < 38 else None, f"p{i % 4}" if i % 5 else None, f"name {i % 6}") for i in range(40)], "a int, k string, place string, name string")
+    b = spark.createDataFrame([(i, "s" if i < 20 else f"s{i % 3}", f"p{i % 3}" if i % 7 else None, f"nane {i % 5}") for i in range(30)], "b int, k string, place string, name string")
+    return RecordSet(a, "a"), RecordSet(b, "b")
+
+
+def test_frequencies_are_counted_without_moving_pairs(spark, rows, monkeypatch):
+    from pairlink.operators import meeting
+
+    monkeypatch.setattr(meeting, "TILE", 3)
+    a, b = people(spark)
+    made = lambda: Compare([Frequency("place", "place", label=["x", "y"]), FrequencyA("place", normalise=False, missing_value=-1, label="n"), FrequencyB("name", label="m")])
+    block = Block("k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fused = block_and_compare(block, made(), a, b)
+        assert rows(fused) == rows(made().compute(block.index(a, b), a, b)) != []
+        # the last join is the one that makes the pairs: nothing is joined to them
+        assert "LeftOuter" not in next(x for x in str(fused._jdf.queryExecution().optimizedPlan()).splitlines() if "Join " in x)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("method", ["jarowinkler", "levenshtein"])
+def test_pairs_whose_sum_is_too_small_are_left_out_before_strings_are_compared(spark, rows, method):
+    a, b = people(spark)
+    made = lambda: Compare().string("name", "name", method, label="s").exact("place", "place", missing_value=0.25, label="e")
+    for least in (0.3, 1.1, 1.7):
+        every, few = block_and_compare(Block("k"), made(), a, b), block_and_compare(Block("k"), made(), a, b, sum_above=least)
+        assert rows(few.filter(f"s + e > {least}")) == rows(every.filter(f"s + e > {least}")) != []
+    assert few.count() < every.count()
