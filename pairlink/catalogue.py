@@ -671,7 +671,7 @@ _LINK = f"SELECT {PERSON_IDS} FROM {PERSON_PAIRS} WHERE coalesce(jaro_winkler_si
 @query(_LINK)
 def e2e_link(spark, folder):
     compare = Compare().string("name_a", "name_b", "jarowinkler").exact("dob", "date_of_birth").exact("place", "placename")
-    return classify.sum_rule(person_features(spark, folder, compare), 2.5)
+    return classify.sum_rule(person_features(spark, folder, compare, 2.5), 2.5)
 
 
 @query(_LINK)
