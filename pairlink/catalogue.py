@@ -680,7 +680,7 @@ def stream_e2e_link(spark, folder):
     compare = Compare().string("name_a", "name_b", "jarowinkler").exact("dob", "date_of_birth").exact("place", "placename")
     schema = table(spark, folder, "person_a").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/person_a.parquet*")
-    found = classify.sum_rule(stream_link(stream, "rec_id", records(spark, folder, "person_b"), indexing.Block("surname"), compare), 2.5)
+    found = classify.sum_rule(stream_link(stream, "rec_id", records(spark, folder, "person_b"), indexing.Block("surname"), compare, 2.5), 2.5)
     out = Scratch(spark, "stream").root
     found.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{out}/rows")

@@ -274,3 +274,23 @@ def test_pairs_whose_sum_is_too_small_are_left_out_before_strings_are_compared(s
         every, few = block_and_compare(Block("k"), made(), a, b), block_and_compare(Block("k"), made(), a, b, sum_above=least)
         assert rows(few.filter(f"s + e > {least}")) == rows(every.filter(f"s + e > {least}")) != []
     assert few.count() < every.count()
+
+
+def test_a_stream_leaves_out_pairs_whose_sum_is_too_small(spark, rows, monkeypatch, tmp_path):
+    from pairlink.operators import meeting
+    from pairlink.streaming.incremental import stream_link
+
+    monkeypatch.setattr(meeting, "TILE", 3)
+    a, b = people(spark)
+    a.df.write.parquet(f"{tmp_path}/a")
+    compare = Compare().string("name", "name", "jarowinkler", label="s").exact("place", "place", label="e")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = stream_link(spark.readStream.schema(a.df.schema).parquet(f"{tmp_path}/a"), "a", b, Block("k"), compare, sum_above=1.5)
+        found.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/out")
+        every = block_and_compare(Block("k"), compare, a, b)
+        assert rows(got.filter("s + e > 1.5")) == rows(every.filter("s + e > 1.5")) != []
+        assert got.count() < every.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
