@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
-from itertools import zip_longest
+from itertools import combinations, zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +65,12 @@ class Full(IndexAlgorithm):
         return self._pairs(a, a, True)
 
 
+def _check_keys(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], block: Block) -> None:
+    for (l, r), one, two in zip(keys, block.left_on, block.right_on):
+        if not same_family(left.schema[l].dataType, right.schema[r].dataType):
+            raise ValueError(f"keys of different types can't block: {one}, {two}")
+
+
 class Block(IndexAlgorithm):
     """Pairs that agree on all keys; records with a null key are in no pair."""
 
@@ -76,10 +82,9 @@ class Block(IndexAlgorithm):
 
     def _pairs(self, a, b, dedup):
         left, right = a.columns(self.left_on, "l"), b.columns(self.right_on, "r")
-        for i in range(len(self.left_on)):
-            if not same_family(left.schema[f"l{i}"].dataType, right.schema[f"r{i}"].dataType):
-                raise ValueError(f"keys of different types can't block: {self.left_on[i]}, {self.right_on[i]}")
-        return meet(left, right, [(f"l{i}", f"r{i}") for i in range(len(self.left_on))], _below(dedup)).select("lid", "rid")
+        keys = [(f"l{i}", f"r{i}") for i in range(len(self.left_on))]
+        _check_keys(left, right, keys, self)
+        return meet(left, right, keys, _below(dedup)).select("lid", "rid")
 
     def _link(self, a, b):
         return self._pairs(a, b, False)
@@ -191,8 +196,8 @@ class NeighbourhoodBlock(IndexAlgorithm):
     """Blocking that tolerates some nulls, some differing keys, and neighbouring values.
 
     A pair is accepted when the keys within their windows, plus at most ``max_nulls`` null keys, number at
-    least all keys but ``max_non_matches``.  An accepted pair really agrees on at least one of any
-    ``max_non_matches + max_nulls + 1`` keys, so that many neighbourhood joins find all of them.
+    least all keys but ``max_non_matches``.  An accepted pair really agrees on all keys but
+    ``max_non_matches + max_nulls``, so joins on sets of keys find all of them, each in the set of its first keys.
     """
 
     def __init__(self, left_on=None, right_on=None, max_nulls: int = 0, max_non_matches: int = 0, windows: int | Sequence[int] = 1):
@@ -224,11 +229,24 @@ class NeighbourhoodBlock(IndexAlgorithm):
         if needed > n:
             found = left.join(right, _below(True)) if dedup else left.crossJoin(right)
             return found.filter(accept).select("lid", "rid")
-        passes = []
-        for i in range(needed):
-            near = left.withColumn("near", F.explode(F.sequence(F.col(f"lr{i}") - halves[i], F.col(f"lr{i}") + halves[i])))
-            passes.append(near.join(right, (F.col("near") == F.col(f"rr{i}")) & _below(dedup) & accept).select("lid", "rid"))
-        return reduce(DataFrame.union, passes).distinct() if len(passes) > 1 else passes[0]
+        found = []
+        for chosen in self._subsets(n, n - needed + 1):
+            # the chosen keys are the first ones on which the pair agrees, so that it is found once
+            first = reduce(Column.__and__, (agree[i] == int(i in chosen) for i in range(chosen[-1] + 1)))
+            near, keys = left, [(f"lr{i}", f"rr{i}") for i in chosen if not halves[i]]
+            wide = [i for i in chosen if halves[i]]
+            if wide:
+                i = wide[0]
+                near = near.withColumn("near", F.explode(F.sequence(F.col(f"lr{i}") - halves[i], F.col(f"lr{i}") + halves[i])))
+                keys.append(("near", f"rr{i}"))
+            found.append(meet(near, right, keys, _below(dedup) & first & accept).select("lid", "rid"))
+        return reduce(DataFrame.union, found)
+
+    @staticmethod
+    def _subsets(n: int, least: int) -> list[tuple[int, ...]]:
+        """Sets of keys such that the first keys of any ``least`` or more are one of them: of as many keys as ten joins can cover."""
+        size = max((t for t in range(1, least + 1) if math.comb(n - least + t, t) <= 10), default=1)
+        return list(combinations(range(n - least + size), size))
 
     def _link(self, a, b):
         return self._pairs(a, b, False)
@@ -263,9 +281,25 @@ class Index:
     def index(self, x, x_link=None) -> DataFrame:
         if not self.algorithms:
             raise ValueError("no index algorithm given")
+        if len(self.algorithms) > 1 and all(type(m) is Block for m in self.algorithms):
+            a, b = sides(x, x_link)
+            return self._blocks(a, b or a, b is None).toDF(*pair_names(a, b))
         found = [m.index(x, x_link) for m in self.algorithms]
         return found[0] if len(found) == 1 else reduce(DataFrame.union, found).distinct()
 
+    def _blocks(self, a: RecordSet, b: RecordSet, dedup: bool) -> DataFrame:
+        """The pairs of several blocks, each block without those of the ones before it, so that no pair has to be shuffled."""
+        made, earlier = [], F.lit(False)
+        names_l, names_r = (list(dict.fromkeys(c for m in self.algorithms for c in side(m))) for side in (lambda m: m.left_on, lambda m: m.right_on))
+        left, right = a.columns(names_l, "l"), b.columns(names_r, "r")
+        for m in self.algorithms:
+            keys = [(f"l{names_l.index(l)}", f"r{names_r.index(r)}") for l, r in zip(m.left_on, m.right_on)]
+            _check_keys(left, right, keys, m)
+            made.append(meet(left, right, keys, _below(dedup) & ~earlier).select("lid", "rid"))
+            agree = reduce(Column.__and__, (F.col(l) == F.col(r) for l, r in keys))
+            earlier = earlier | F.coalesce(agree, F.lit(False))
+        return reduce(DataFrame.union, made)
+
     def stats(self, x, x_link=None) -> dict[str, float]:
         """Number of pairs, of possible pairs, and the reduction ratio (runs jobs)."""
         a, b = sides(x, x_link)

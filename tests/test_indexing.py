@@ -203,3 +203,35 @@ def test_pairs_of_a_popular_key_are_made_in_several_tasks(spark, rows, tiles):
     c = RecordSet(spark.createDataFrame([(i, i % 2) for i in range(30)], "c int, k long"), "c")
     d = RecordSet(spark.createDataFrame([(i, i % 3) for i in range(4)], "d int, k int"), "d")
     assert rows(Block("k").index(c, d)) == sorted(((x, y) for x in range(30) for y in range(4) if x % 2 == y % 3), key=str)
+
+
+def _moves_no_pair(pairs):
+    """No aggregate above the joins: pairs aren't gathered to be told apart."""
+    plan = str(pairs._jdf.queryExecution().optimizedPlan())
+    return "Aggregate" not in plan.split("Join ")[0]
+
+
+def test_several_blocks_give_each_pair_once(spark, rows, tiles):
+    people = [(i, f"a{i % 3}" if i % 11 else None, f"b{i % 4}" if i % 7 else None, i % 5) for i in range(50)]
+    a = RecordSet(spark.createDataFrame(people, "id int, x string, y string, z int"), "id")
+    b = RecordSet(spark.createDataFrame(people[:30], "other int, x string, y string, z int"), "other")
+    index = Index().block(["x", "z"]).block("y").block(["y", "z"]).block(left_on="z", right_on="z")
+    same = lambda p, q: any(None not in k and k == m for k, m in (((p[1], p[3]), (q[1], q[3])), (p[2:3], q[2:3]), (p[3:], q[3:])))
+    assert rows(index.index(a)) == sorted(((p[0], q[0]) for p in people for q in people if p[0] > q[0] and same(p, q)), key=str)
+    assert rows(index.index(a, b)) == sorted(((p[0], q[0]) for p in people for q in people[:30] if same(p, q)), key=str)
+    assert _moves_no_pair(index.index(a))
+
+
+@pytest.mark.parametrize("nulls, others, windows", [(0, 1, [1, 1, 3, 1]), (1, 1, [3, 1, 1, 5]), (0, 2, 1), (0, 0, [1, 3, 3, 1]), (1, 2, [1, 1, 1, 3])])
+def test_tolerant_blocking_gives_each_pair_once(spark, rows, tiles, nulls, others, windows):
+    people = [(i, *((i * m + i // 5) % 4 if (i + m) % 9 else None for m in (1, 2, 3, 5))) for i in range(36)]
+    a = RecordSet(spark.createDataFrame(people, "id int, w int, x int, y int, z int"), "id")
+    half = [w // 2 for w in ([windows] * 4 if isinstance(windows, int) else windows)]
+
+    def accepted(p, q):
+        agree = sum(s is not None and t is not None and abs(s - t) <= h for s, t, h in zip(p[1:], q[1:], half))
+        return agree + min(nulls, sum(s is None or t is None for s, t in zip(p[1:], q[1:]))) >= 4 - others
+
+    found = NeighbourhoodBlock(["w", "x", "y", "z"], max_nulls=nulls, max_non_matches=others, windows=windows).index(a)
+    assert rows(found) == sorted(((p[0], q[0]) for p in people for q in people if p[0] > q[0] and accepted(p, q)), key=str) != []
+    assert _moves_no_pair(found)
